@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeweave.llm.bpe import op3_bpe
+from citeweave.llm.packing import op9_packing
 from citeweave.llm.quality import op1_quality_rules
 from citeweave.llm.secrets import op7_secret_scan
+from citeweave.llm.simhash import op4_simhash
+from citeweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op4_simhash, op7_secret_scan, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
