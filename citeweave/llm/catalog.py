@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeweave.llm.bpe import op3_bpe
+from citeweave.llm.html import op8_html
+from citeweave.llm.neighbours import op5_nearest
 from citeweave.llm.packing import op9_packing
 from citeweave.llm.quality import op1_quality_rules
 from citeweave.llm.secrets import op7_secret_scan
@@ -15,7 +17,7 @@ from citeweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op4_simhash, op7_secret_scan, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op4_simhash, op5_nearest, op7_secret_scan, op8_html, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
