@@ -10,6 +10,7 @@ from citeweave.llm.bpe import op3_bpe
 from citeweave.llm.html import op8_html
 from citeweave.llm.neighbours import op5_nearest
 from citeweave.llm.packing import op9_packing
+from citeweave.llm.passages import op6_passages
 from citeweave.llm.quality import op1_quality_rules
 from citeweave.llm.secrets import op7_secret_scan
 from citeweave.llm.simhash import op4_simhash
@@ -18,7 +19,7 @@ from citeweave.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_bpe, op4_simhash, op5_nearest, op7_secret_scan, op8_html, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_bpe, op4_simhash, op5_nearest, op6_passages, op7_secret_scan, op8_html, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
