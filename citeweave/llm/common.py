@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a maximal run without ASCII white space.
@@ -37,21 +38,67 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
-    """mapInArrow with plain lists: fn gets a batch as {column: values} and returns such a dict."""
+#: Bytes that a batch may hold, about; a longer row is a batch of its own.
+BATCH_BYTES = 12_000_000
+
+
+def slices(b: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of some bytes at most."""
+    n = max(1, -(-b.nbytes // most))
+    if n == 1:
+        yield b
+        return
+    sizes = np.full(b.num_rows, b.nbytes // b.num_rows)
+    if texts := [c for c in b.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]:
+        sizes = sum(pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+    at = 0
+    for cut in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), b.num_rows]:
+        if cut > at:
+            yield b.slice(at, cut - at)
+        at = cut
+
+
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str, use: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow with plain lists: fn gets a batch of some BATCH_BYTES at most as {column: values} (of the columns `use`, if given) and returns such a dict."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (got := fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})) is not None:
+        for b in (x for whole in batches for x in slices(whole)):
+            if b.num_rows and (got := fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names) if not use or n in use})) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def replaced(df: DataFrame, fn: Callable[[list], list], text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """df with its texts replaced by fn(texts), and their number of code points in size_col, where there is such a column; other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole)):
+            k = b.schema.get_field_index(text_col)
+            new = pa.array(fn(b.column(k).to_pylist()), pa.string())
+            b = b.set_column(k, b.schema.field(k), new)
+            n = b.schema.get_field_index(size_col)
+            if n >= 0:
+                b = b.set_column(n, b.schema.field(n), pa.compute.utf8_length(new).cast(b.schema.field(n).type))
+            yield b
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filtered(df: DataFrame, fn: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """The rows of df whose text fn says yes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole)):
+            yield b.filter(pa.array(fn(b.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

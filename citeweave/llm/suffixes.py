@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_batches, read, rolling, sha256
+from citeweave.llm.common import map_batches, read, rolling, sha256, slices
 
 LENGTH, SEED = 50, 24
-#: Ranks in a bucket, about; bytes of a text that are looked at in one piece.
-BUCKET, PIECE = 3_000_000, 4_000_000
+#: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece.
+BUCKET, SLICE, PIECE = 1_000_000, 250_000, 4_000_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -120,23 +120,32 @@ def _owners(blob: bytes, size: int) -> np.ndarray:
 def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket to (key, ranks): those ranks of the text that another text has too."""
 
-    def answer(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    def answer(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         lists = [_blob_ranks(r) for r, _ in parts]
-        rank = np.concatenate(lists)
-        who = np.concatenate([_owners(o, len(x)) for (_, o), x in zip(parts, lists, strict=True)])
-        order = np.lexsort((who, rank))
-        rank, who = rank[order], who[order]
-        same = np.r_[False, rank[1:] == rank[:-1]]
-        group = np.cumsum(~same) - 1
-        start = np.flatnonzero(~same)
-        last = np.r_[start[1:], len(rank)] - 1
-        several = (who[start] != who[last])[group] & np.r_[True, (rank[1:] != rank[:-1]) | (who[1:] != who[:-1])]
-        rank, who = rank[several], who[several]
-        by = np.argsort(who, kind="stable")
-        rank, who = rank[by], who[by]
-        cuts = np.flatnonzero(np.diff(who)) + 1
-        keys = who[np.r_[0, cuts]] if len(who) else who
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "ranks": pa.array([_ranks_blob(x) for x in np.split(rank, cuts)] if len(who) else [], pa.binary())})
+        owners = [_owners(o, len(x)) for (_, o), x in zip(parts, lists, strict=True)]
+        parts.clear()
+        low, high = min(int(x[0]) for x in lists), max(int(x[-1]) for x in lists) + 1
+        steps = -(-sum(map(len, lists)) // SLICE)
+        cuts = [low + (high - low) * k // steps for k in range(steps + 1)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            at = [np.searchsorted(x, (a, z)) for x in lists]
+            rank = np.concatenate([x[i:j] for x, (i, j) in zip(lists, at, strict=True)])
+            if not len(rank):
+                continue
+            who = np.concatenate([x[i:j] for x, (i, j) in zip(owners, at, strict=True)])
+            order = np.lexsort((who, rank))
+            rank, who = rank[order], who[order]
+            start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            size = np.diff(np.r_[start, len(rank)])
+            several = np.repeat(who[start] != who[start + size - 1], size)
+            several[1:] &= (rank[1:] != rank[:-1]) | (who[1:] != who[:-1])
+            rank, who = rank[several], who[several]
+            if not len(rank):
+                continue
+            by = np.argsort(who, kind="stable")
+            rank, who = rank[by], who[by]
+            new = np.flatnonzero(np.diff(who)) + 1
+            yield pa.RecordBatch.from_pydict({"key": pa.array(who[np.r_[0, new]]), "ranks": pa.array([_ranks_blob(x) for x in np.split(rank, new)], pa.binary())})
 
     kept: list[tuple[bytes, bytes]] = []
     now = None
@@ -149,12 +158,11 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if x < 0:
                 continue
             if x != now and kept:
-                yield answer(kept)
-                kept = []
+                yield from answer(kept)
             now = x
             kept.append((b.column("ranks")[k].as_py(), b.column("owners")[k].as_py()))
     if kept:
-        yield answer(kept)
+        yield from answer(kept)
 
 
 def _positions(length: int, seed: int):
@@ -217,7 +225,7 @@ def _later_strings(length: int):
         for b in batches:
             kept.append((*(b.column(c).to_numpy() for c in ("rank", "doc_id", "at")), b.column("around").to_pylist()))
             size += b.num_rows
-            if size < 60_000:
+            if size < 20_000:
                 continue
             rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
             around = [x for k in kept for x in k[3]]
@@ -247,10 +255,18 @@ def _keep(length: int):
     return spans
 
 
+def _long_ids(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text; a plain column stays one, as a renamed one would keep Spark from shuffling the texts once for both uses."""
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select("doc_id", "text", *(["rest"] if "rest" in docs.columns else []))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, text, cuts, copy): the spans of bytes to remove, unmerged, or that the whole text is a copy."""
+    """docs(doc_id, text[, rest]) to these and (cuts, copy): the spans of bytes to remove, unmerged, or that the whole text is a copy."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    own = [c for c in docs.columns if c != "doc_id"]
     known = texts.where("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -263,12 +279,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     shared = by_key.mapInArrow(_shared_ranks, "key long, ranks binary")
     for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id")), "key").groupBy("doc_id").agg(F.collect_list("ranks").alias("blobs"))
     moved = texts.where("doc_id is not null").repartition(parts, "doc_id")
-    positions = map_batches(moved.join(for_doc, "doc_id"), _positions(length, seed), "rank long, doc_id long, at long, around binary")
+    positions = map_batches(moved.join(for_doc, "doc_id"), _positions(length, seed), "rank long, doc_id long, at long, around binary", ("doc_id", "text", "blobs"))
     later = positions.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_later_strings(length), "doc_id long, a long, b long")
     cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     marks = cuts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select("doc_id", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    none = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
-    return moved.join(marks, "doc_id", "left").select("doc_id", "text", "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
+    none = texts.where("doc_id is null").select("doc_id", *own, F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
+    return moved.join(marks, "doc_id", "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
 
 
 def _cut(b: dict, length: int):
@@ -290,17 +306,25 @@ def dedup_digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
         rows = [(i, len(d), sum(y - x for x, y in g), len(g), sha256(left)) for i, d, g, left in _cut(b, length)]
         return dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return map_batches(repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, seed), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(repeated_spans(_long_ids(docs), length, seed), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, text, n_removed: the texts that are left; bytes of a character cut in two are dropped with it."""
-
-    def run(b: dict) -> dict:
-        rows = [(i, left.decode("utf-8", "ignore"), len(d) - len(left)) for i, d, _, left in _cut(b, length)]
-        return dict(zip(("doc_id", "text", "n_removed"), map(list, zip(*rows, strict=True)), strict=True))
+    """docs with the texts that are left, n_chars to match, other columns as they are; bytes of a character cut in two go with the others of it. A null text stays null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(F.col("text").isNull().alias("_none"), *others)
+    marked = repeated_spans(_long_ids(docs.withColumn("_rest", rest).select("doc_id", "text", F.col("_rest").alias("rest"))), length, seed)
 
-    return map_batches(repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, seed), run, "doc_id long, text string, n_removed long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole)):
+            left = [d.decode("utf-8", "ignore") for *_, d in _cut({c: b.column(c).to_pylist() for c in ("doc_id", "text", "cuts", "copy")}, length)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(left, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
+
+    out = marked.mapInArrow(run, marked.select("doc_id", "text", "rest").schema)
+    text = F.when(~F.col("rest._none"), F.col("text"))
+    size = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": size}
+    return out.select(*[(own[c] if own.get(c) is not None else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
