@@ -24,7 +24,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm.common import map_batches, read, rows_of, sha256
+from citeweave.llm.common import map_batches, read, replaced, rows_of, sha256
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -196,5 +196,10 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, SCHEMA)
 
 
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with redact() applied to the texts, n_chars to match, other columns as they are."""
+    return replaced(docs, lambda texts: [redact(t) for t in texts], text_col)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(read(spark, sf_dir, "documents"))

@@ -212,5 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but the smallest of each class, all columns as they are; of rows repeated under one id one stays. Rows without an id stay."""
+    ids = stored(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
+    out = docs.join(ids.where("low <> doc_id").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    if ids.where("n > 1").limit(1).count():
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    return out
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

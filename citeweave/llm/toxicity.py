@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_batches, read, rows_of
+from citeweave.llm.common import filtered, map_batches, read
 
 TERM = re.compile(r"\w+")
 BITS = 18
@@ -146,15 +146,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float))
 
 
+def _probabilities(terms: Terms, machine: Machine, texts: list) -> list[float]:
+    rows = [terms(t) for t in texts]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    return sigmoid(machine.logits(np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum())), sizes)).tolist()
+
+
+def accepted(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """docs without those scored 0.5 or more, all columns as they are."""
+    terms = Terms(machine.keep)
+    return filtered(docs, lambda texts: [p < 0.5 for p in _probabilities(terms, machine, texts)], text_col)
+
+
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted: one row per document."""
     terms = Terms(machine.keep)
 
     def run(b: dict) -> dict:
-        rows = [terms(t) for t in b["text"]]
-        sizes = np.array([len(r) for r in rows])
-        p = sigmoid(machine.logits(np.fromiter((x for r in rows for x in r), np.int64, int(sizes.sum())), sizes))
-        return {"doc_id": b["doc_id"], "score": p.tolist(), "predicted": [int(x >= 0.5) for x in p.tolist()]}
+        p = _probabilities(terms, machine, b["text"])
+        return {"doc_id": b["doc_id"], "score": p, "predicted": [int(x >= 0.5) for x in p]}
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double, predicted int")
 
