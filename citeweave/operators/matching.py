@@ -54,12 +54,6 @@ def name_forms(name: Column, acronyms: bool) -> Column:
     return F.filter(F.array_distinct(F.flatten(F.array(*forms))), lambda x: x != "")
 
 
-def _ratios(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """pairs with the ratio of columns a and b as a share, computed once for each distinct pair."""
-    distinct = pairs.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    return pairs.join(distinct.withColumn(out, indel_ratio(F.col(a), F.col(b)) / 100), [a, b], "left")
-
-
 def least_first(score: float) -> float:
     """The ratio of first authors (0 to 100) below which no score can be reached: a second author adds three tenths at most."""
     return max(0.0, (score / 100 - 0.3) / 0.7 * 100)
@@ -89,7 +83,7 @@ def scored(citations: DataFrame, library: DataFrame, author: int, names: DataFra
     left = cites.select("*", F.explode(name_forms(F.get("authors", 0), True)).alias("a"), F.lower(strip_particles(F.get("authors", 1))).alias("a2"), F.size("authors").alias("n"))
     right = pools.select("lib_ord", "item_key", "pool", "own", F.size("names").alias("m"), F.explode(name_forms(F.get("names", 0), False)).alias("b"), F.lower(strip_particles(F.get("names", 1))).alias("b2"))
     near = names.where(F.col("s1") >= least_first(author) / 100 - 1e-9)
-    pairs = _ratios(left.drop("authors").join(near, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3"), "a2", "b2", "s2")
+    pairs = left.drop("authors").join(near, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3").withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
     score = F.when((F.col("n") > 1) & (F.col("m") > 1), F.col("s1") * 0.7 + F.col("s2") * 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1"))
     best = pairs.select("cit_id", "lib_ord", "item_key", (score * F.col("own")).alias("score")).groupBy("cit_id", "lib_ord", "item_key").agg(F.max("score").alias("score"))
     once = Window.partitionBy("cit_id", "item_key").orderBy("lib_ord")
@@ -131,7 +125,7 @@ def low_candidates(citations: DataFrame, library: DataFrame, t: Thresholds = Thr
     items = item_names(library)
     pools = items.unionByName(items.withColumn("pool", F.lit("")))  # a year that isn't a number looks at all items
     right = pools.select("lib_ord", "item_key", "pool", F.size("names").alias("m"), F.explode(name_forms(F.get("names", 0), False)).alias("b"), F.lower(strip_particles(F.get("names", 1))).alias("b2")).distinct()
-    pairs = _ratios(left.join(names, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3"), "a2", "b2", "s2")
+    pairs = left.join(names, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3").withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
     s = F.col("s1") * F.col("own")
     score = F.when((F.col("n") > 1) & (F.col("m") > 1), s * 0.7 + F.col("s2") * 0.3 * F.col("own")).otherwise(s)
     best = pairs.groupBy("cit_id", "lib_ord", "item_key", "ord").agg(F.max(score).alias("score"))
@@ -158,7 +152,7 @@ def bibliography_hint(citations: DataFrame, references: DataFrame, t: Thresholds
     """(cit_id, bibliography_hint): the entry of the same document whose surname is nearest, of the threshold or more; references: doc_id, surname, text, ord."""
     cites = citations.where(F.size("authors") > 0).select("cit_id", "doc_id", F.lower(strip_particles(F.get("authors", 0))).alias("a"))
     pairs = cites.join(references.where("surname <> ''").select("doc_id", F.lower("surname").alias("b"), "text", "ord"), "doc_id")
-    pairs = _ratios(pairs.where(could_reach(F.col("a"), F.col("b"), float(t.last_resort))), "a", "b", "s")
+    pairs = pairs.where(could_reach(F.col("a"), F.col("b"), float(t.last_resort))).withColumn("s", indel_ratio(F.col("a"), F.col("b")) / 100)
     best = pairs.groupBy("cit_id").agg(F.max_by("text", F.struct("s", -F.col("ord"))).alias("bibliography_hint"), F.max("s").alias("s"))
     return best.where(F.col("s") >= t.last_resort / 100).drop("s")
 
