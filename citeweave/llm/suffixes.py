@@ -4,7 +4,7 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
 position of a corpus moves many times its size, so the ranks are taken where they can matter:
 
 * First offset. Of the SEED-byte ranks (rolling-hash names) in a LENGTH-byte string the least one stands for it: equal
-  strings have equal least ranks, and about one position in 14 is one. These ranks are sorted into buckets; a rank found
+  strings have equal least ranks, and about one position in 16 is one. These ranks are sorted into buckets; a rank found
   in one text only is unique, and every string that it stands for is dropped. A batch sends each of its ranks once, so a
   rank that a third of all texts hold arrives once per batch.
 * Last offset, the threshold. Positions that are left are sorted by rank, with the bytes around; their strings of LENGTH
@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_batches, read, rolling, sha256, slices
+from citeweave.llm.common import map_batches, mix64, read, rolling, sha256, slices
 
-LENGTH, SEED = 50, 24
+LENGTH, SEED = 50, 20
+#: Of a rank; spread evenly, as least values lie close together. Ranks that are equal by chance cost time, not results.
+BITS = 44
 #: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece.
 BUCKET, SLICE, PIECE = 1_000_000, 250_000, 4_000_000
 
@@ -46,16 +48,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: bytes, length: int = LENGTH, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rank, start, end) of the runs of positions whose string has the same least rank (48 bits), piece by piece."""
+    """(rank, start, end) of the runs of positions whose string has the same least rank, piece by piece."""
     for at in range(0, max(0, len(data) - length + 1), PIECE):
         values = np.frombuffer(data[at : at + PIECE + length - 1], np.uint8).astype(np.uint64) + np.uint64(1)
         least = sliding_min(rolling(values, seed), length - seed + 1)
         start = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-        yield (least[start] >> np.uint64(16)).astype(np.int64), start + at, np.r_[start[1:], len(least)] + at
+        yield (mix64(least[start]) >> np.uint64(64 - BITS)).astype(np.int64), start + at, np.r_[start[1:], len(least)] + at
 
 
 def _ranks_blob(ranks: np.ndarray) -> bytes:
-    """Sorted 48-bit ranks as differences, compressed."""
+    """Sorted ranks as differences, compressed."""
     return zlib.compress(np.diff(ranks, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), 1)
 
 
@@ -98,7 +100,7 @@ def _seed_batches(n_buckets: int, length: int, seed: int):
                 out["ranks"].append(_ranks_blob(rs[part]))
                 out["owners"].append(b"")
         rank, who = rank[first], who[first]
-        bucket = rank * n_buckets >> 48 if n_buckets < 1 << 15 else (rank >> 16) * n_buckets >> 32
+        bucket = (rank >> BITS - 32) * n_buckets >> 32
         for part in np.split(np.arange(len(rank)), np.flatnonzero(np.diff(bucket)) + 1):
             names, place = np.unique(who[part], return_inverse=True)
             out["bucket"].append(int(bucket[part[0]]))
