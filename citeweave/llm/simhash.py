@@ -180,7 +180,8 @@ def links(rows: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Data
             return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
         for b in batches:
-            kept.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "fp", "node", "probe")])
+            g, fp, node, probe = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "fp", "node", "probe"))
+            kept.append([g, fp.view(np.uint64), node, probe])  # of a signed number bitwise_count takes the absolute value
             size += b.num_rows
             if size < 100_000:
                 continue
@@ -213,9 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest of each class, all columns as they are; of rows repeated under one id one stays. Rows without an id stay."""
+    """docs without all but the smallest of each class, all columns as they are; of rows repeated under one id one stays. Rows without an id stay. The texts are shuffled at any size, as what goes has no bound."""
     ids = stored(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
-    out = docs.join(ids.where("low <> doc_id").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    out = docs.join(ids.where("low <> doc_id").select(F.col("doc_id").alias(id_col)).hint("merge"), id_col, "left_anti").select(*docs.columns)
     if ids.where("n > 1").limit(1).count():
         out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
     return out
