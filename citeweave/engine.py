@@ -50,8 +50,8 @@ def analyse(spark: SparkSession, documents: str, library_path: str, thresholds:
     found = document_citations(paragraphs).withColumn("cit_id", F.xxhash64("doc_id", "in_footnote", "para_idx", "emit_ord", "num_ord"))
     cites = stored(found.withColumn("display", F.when(F.col("display_text") != "", F.col("display_text")).otherwise(F.col("raw_text"))), "citations")
     rows = paragraphs.withColumn("doc_id", F.xxhash64("path")).where("zone = 'body'").select("doc_id", "para_idx", "para_text")
-    starts = references.reference_start(rows)
-    names = references.author_year_references(rows, starts)
+    sections = stored(references.sectioned(rows), "sections")
+    names = references.author_year_references(sections)
     by_name = cites.where("style = 'author-year'")
     outcome = matching.cascade(by_name, items, thresholds, names)
     by_number = cites.where("style = 'numbered'")
@@ -59,7 +59,7 @@ def analyse(spark: SparkSession, documents: str, library_path: str, thresholds:
     rest = by_number.select("cit_id").join(hit, "cit_id", "left").select("cit_id", F.when(F.col("item_key").isNull(), "unmatched").otherwise("matched").alias("outcome"), "item_key", F.coalesce("score", F.lit(0.0)).alias("confidence"))
     results = stored(cites.join(outcome.unionByName(rest, allowMissingColumns=True), "cit_id"), "results")
     results = results.withColumn("suggestion_year", F.coalesce("suggestion_year", F.lit("")))
-    uncited = references.uncited(cites, references.numbered_references(rows, starts), names)
+    uncited = references.uncited(cites, references.numbered_references(sections), names)
     return Analysis(files, cites, results, items, records, uncited)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.similarity import could_reach, indel_ratio, title_form, token_sort_ratio
+from citeweave.functions.similarity import could_reach, indel_ratio, sorted_tokens, title_form, token_sort_ratio
 from citeweave.functions.text import strip_particles
 from citeweave.sources.storage import stored
 
@@ -77,8 +77,9 @@ def scored(citations: DataFrame, library: DataFrame, author: int, names: DataFra
     if not undated:  # years that aren't numbers then look at all items
         pools = pools.unionByName(pools.withColumn("pool", F.lit("")))
     if author <= 50:  # half of a score can pass then, so citations of a year that no item has look at all items
-        bare = cites.where("pool <> ''").select("pool").distinct().join(items.select("pool").distinct(), "pool", "left_anti")
-        pools = pools.unionByName(items.drop("pool").withColumn("own", F.lit(0.5)).crossJoin(F.broadcast(bare.select("pool"))).select(pools.columns))
+        own = items.select("pool", F.lit(True).alias("_has")).distinct()
+        cites = cites.join(own, "pool", "left").withColumn("pool", F.when(F.col("_has").isNull() & (F.col("pool") != ""), "*").otherwise(F.col("pool"))).drop("_has")
+        pools = pools.unionByName(items.withColumn("own", F.lit(0.5)).withColumn("pool", F.lit("*")))
     names = name_scores(citations, library, least_first(author)) if names is None else names
     left = cites.select("*", F.explode(name_forms(F.get("authors", 0), True)).alias("a"), F.lower(strip_particles(F.get("authors", 1))).alias("a2"), F.size("authors").alias("n"))
     right = pools.select("lib_ord", "item_key", "pool", "own", F.size("names").alias("m"), F.explode(name_forms(F.get("names", 0), False)).alias("b"), F.lower(strip_particles(F.get("names", 1))).alias("b2"))
@@ -168,13 +169,23 @@ def year_agnostic(citations: DataFrame, library: DataFrame, t: Thresholds = Thre
 
 
 def title_match(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(cit_id, lib_ord, item_key, score, matched): the item whose title is nearest to raw_text; a broadcast nested loop, as titles have no key."""
-    asked = citations.where(~F.col("raw_text").startswith("[") & (F.col("raw_text") != "")).select("cit_id", "year", title_form(F.col("raw_text")).alias("q"))
-    titles = library.where("title <> ''").select("lib_ord", "item_key", F.substring("year", 1, 4).alias("y"), title_form(F.col("title")).alias("ti"))
-    s = token_sort_ratio(F.col("q"), F.col("ti")) / 100
-    score = F.when((F.col("year") != "") & (F.col("y") == F.substring("year", 1, 4)), F.least(F.lit(1.0), s * 1.15)).otherwise(s)
-    best = asked.crossJoin(titles).withColumn("score", score).groupBy("cit_id").agg(F.max_by(F.struct("lib_ord", "item_key"), F.struct("score", -F.col("lib_ord"))).alias("i"), F.max("score").alias("score"))
-    return best.select("cit_id", "i.*", "score", (F.col("score") >= t.title / 100).alias("matched"))
+    """(cit_id, lib_ord, item_key, score, matched): the item whose title is nearest to raw_text, of those whose length lets it match.
+
+    Distinct texts meet distinct titles by an equi-join on the lengths that can reach the threshold (with the bonus for an
+    equal year), and each pair is scored once; a score below it is reported as far as it was found, else it is 0.
+    """
+    asked = citations.where(~F.col("raw_text").startswith("[") & (F.col("raw_text") != "")).select("cit_id", "year", sorted_tokens(title_form(F.col("raw_text"))).alias("a"))
+    titles = library.where("title <> ''").select("lib_ord", "item_key", F.substring("year", 1, 4).alias("y"), sorted_tokens(title_form(F.col("title"))).alias("b"))
+    least = t.title / 1.15
+    low, high = F.floor(F.length("a") * least / (200 - least)), F.ceil(F.length("a") * (200 - least) / least)
+    left = asked.select("a").distinct().select("a", F.explode(F.sequence(low, high)).alias("size"))
+    right = titles.select("b").distinct().withColumn("size", F.length("b").cast("long"))
+    pairs = left.join(right, "size").where(could_reach(F.col("a"), F.col("b"), F.lit(float(t.title)) / 1.15)).select("a", "b", (indel_ratio(F.col("a"), F.col("b")) / 100).alias("s"))
+    met = asked.join(pairs, "a").join(titles, "b")
+    score = F.when((F.col("year") != "") & (F.col("y") == F.substring("year", 1, 4)), F.least(F.lit(1.0), F.col("s") * 1.15)).otherwise(F.col("s"))
+    best = met.withColumn("score", score).groupBy("cit_id").agg(F.max_by(F.struct("lib_ord", "item_key"), F.struct("score", -F.col("lib_ord"))).alias("i"), F.max("score").alias("score"))
+    out = asked.select("cit_id").join(best, "cit_id", "left")
+    return out.select("cit_id", "i.lib_ord", "i.item_key", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") >= t.title / 100, F.lit(False)).alias("matched"))
 
 
 def numbered(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

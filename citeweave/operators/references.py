@@ -39,32 +39,49 @@ def cluster_start(paragraphs: DataFrame) -> DataFrame:
     return sizes.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "cluster_start", "n_entries")
 
 
-def reference_start(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, ref_start): by heading, else by cluster, else past the last paragraph."""
-    n = paragraphs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = n.join(heading_start(paragraphs), "doc_id", "left").join(cluster_start(paragraphs).drop("n_entries"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("heading_start", "cluster_start", "n").cast("long").alias("ref_start"))
+def sectioned(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs with ref_start: by heading, else by cluster, else past the last paragraph.
 
+    All windows are within a document, so the paragraphs are shuffled once, by doc_id, and nothing is joined back.
+    """
+    doc = Window.partitionBy("doc_id")
+    order = doc.orderBy("para_idx")
+    rows = marked(paragraphs).withColumn("n", F.count(F.lit(1)).over(doc)).withColumn("_ahead", F.coalesce(F.sum(F.col("is_entry").cast("int")).over(order.rowsBetween(1, AFTER)), F.lit(0)))
+    rows = rows.withColumn("_e", F.when(F.col("is_entry") & (F.col("para_idx") >= F.floor(F.col("n") / 2)), F.col("para_idx")))
+    before = F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("_e").isNotNull() & F.coalesce(F.col("_e") - before > GAP + 1, F.lit(True))
+    rows = rows.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(order))
+    island = Window.partitionBy("doc_id", "_island")
+    rows = rows.withColumn("_size", F.struct(F.count("_e").over(island).alias("n"), (-F.min("_e").over(island)).alias("at")))
+    heading = F.max(F.when(F.col("is_heading") & (F.col("_ahead") >= WANTED), F.col("para_idx"))).over(doc)
+    largest = F.max(F.when(F.col("_size.n") >= CLUSTER, F.col("_size"))).over(doc)
+    return rows.select(*paragraphs.columns, F.coalesce(heading, -largest["at"], F.col("n")).cast("long").alias("ref_start"))
 
-def body(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
-    return paragraphs.join(starts, "doc_id").where("para_idx < ref_start").drop("ref_start")
 
+def reference_start(sections: DataFrame) -> DataFrame:
+    """(doc_id, ref_start) of paragraphs that sectioned() has been over."""
+    return sections.groupBy("doc_id").agg(F.first("ref_start").alias("ref_start"))
 
-def _listed(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
-    return paragraphs.join(starts, "doc_id").where("para_idx >= ref_start").select("doc_id", "para_idx", strip(F.col("para_text")).alias("t"))
 
+def body(sections: DataFrame) -> DataFrame:
+    return sections.where("para_idx < ref_start").drop("ref_start")
 
-def numbered_references(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
+
+def _listed(sections: DataFrame) -> DataFrame:
+    return sections.where("para_idx >= ref_start").select("doc_id", "para_idx", strip(F.col("para_text")).alias("t"))
+
+
+def numbered_references(sections: DataFrame) -> DataFrame:
     """(doc_id, ref_num, text): the last entry of each number that has a year."""
     num = F.coalesce(F.nullif(F.regexp_extract("t", NUMBERED_ENTRY, 1), F.lit("")), F.nullif(F.regexp_extract("t", NUMBERED_ENTRY, 2), F.lit("")))
-    rows = _listed(paragraphs, starts).select("doc_id", "para_idx", num.try_cast("int").alias("ref_num"), strip(F.regexp_extract("t", NUMBERED_ENTRY, 3)).alias("text"))
+    rows = _listed(sections).select("doc_id", "para_idx", num.try_cast("int").alias("ref_num"), strip(F.regexp_extract("t", NUMBERED_ENTRY, 3)).alias("text"))
     rows = rows.where(F.col("ref_num").isNotNull() & F.col("text").rlike(r"(?U)\b\d{4}\b"))
     return rows.groupBy("doc_id", "ref_num").agg(F.max_by("text", "para_idx").alias("text"))
 
 
-def author_year_references(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
+def author_year_references(sections: DataFrame) -> DataFrame:
     """(doc_id, surname, year, text, ord): the first entry of each surname and year."""
-    rows = _listed(paragraphs, starts).where(F.col("t").rlike(AUTHOR_YEAR_ENTRY))
+    rows = _listed(sections).where(F.col("t").rlike(AUTHOR_YEAR_ENTRY))
     keyed = rows.select("doc_id", "para_idx", F.col("t").alias("text"), F.lower(F.regexp_extract("t", AUTHOR_YEAR_ENTRY, 1)).alias("surname"), normalize_year(F.regexp_extract("t", AUTHOR_YEAR_ENTRY, 2)).alias("year"))
     return keyed.groupBy("doc_id", "surname", "year").agg(F.min_by("text", "para_idx").alias("text"), F.min("para_idx").alias("ord"))
 

@@ -11,6 +11,7 @@ from citeweave.functions import similarity, text
 from citeweave.operators import library, matching, references, review, tokenise
 from citeweave.plans import inputs
 from citeweave.plans.inputs import duck, surname
+from citeweave.sources.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -115,7 +116,7 @@ def q_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(spark, sf, _NAME_PAIRS, "part").withColumn("ratio", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6))
 
 
-_TITLE_PAIRS = "SELECT x.p_partkey AS k, concat(x.p_name, '-', x.p_brand) AS a, concat(y.p_brand, ' ', y.p_name) AS b FROM {part} x JOIN {part} y ON y.p_partkey = x.p_partkey + 1 WHERE x.p_partkey <= 400"
+_TITLE_PAIRS = "SELECT x.p_partkey AS k, concat(x.p_name, '-', x.p_brand) AS a, concat(y.p_brand, ' ', y.p_name) AS b FROM {part} x JOIN {part} y ON y.p_partkey = x.p_partkey + 1"
 _SORTED = "array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower({}), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')), ' ')"
 
 
@@ -206,6 +207,10 @@ def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.spark(spark, sf, "paragraphs")
 
 
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    return references.sectioned(_paragraphs(spark, sf))
+
+
 @query(f"WITH {_MARKED} SELECT * FROM h")
 def q_ref_heading(spark: SparkSession, sf: str) -> DataFrame:
     return references.heading_start(_paragraphs(spark, sf))
@@ -218,32 +223,28 @@ def q_ref_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MARKED} SELECT * FROM st")
 def q_ref_start(spark: SparkSession, sf: str) -> DataFrame:
-    return references.reference_start(_paragraphs(spark, sf))
+    return references.reference_start(_sections(spark, sf))
 
 
 @query(f"WITH {_MARKED} SELECT m.doc_id, para_idx, para_text FROM m JOIN st USING (doc_id) WHERE para_idx < ref_start")
 def q_body(spark: SparkSession, sf: str) -> DataFrame:
-    p = _paragraphs(spark, sf)
-    return references.body(p, references.reference_start(p)).select("doc_id", "para_idx", "para_text")
+    return references.body(_sections(spark, sf))
 
 
 @query(f"WITH {_MARKED} SELECT * FROM nums")
 def q_ref_map_num(spark: SparkSession, sf: str) -> DataFrame:
-    p = _paragraphs(spark, sf)
-    return references.numbered_references(p, references.reference_start(p))
+    return references.numbered_references(_sections(spark, sf))
 
 
 @query(f"WITH {_MARKED} SELECT * FROM ays")
 def q_ref_map_ay(spark: SparkSession, sf: str) -> DataFrame:
-    p = _paragraphs(spark, sf)
-    return references.author_year_references(p, references.reference_start(p))
+    return references.author_year_references(_sections(spark, sf))
 
 
 def _document_citations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = _paragraphs(spark, sf)
-    starts = references.reference_start(p)
-    numbers, names = references.numbered_references(p, starts), references.author_year_references(p, starts)
-    return references.with_reference_text(tokenise.citations(references.body(p, starts), numbers), names), numbers, names
+    sections = stored(_sections(spark, sf), "sections")
+    numbers, names = references.numbered_references(sections), references.author_year_references(sections)
+    return references.with_reference_text(tokenise.citations(references.body(sections), numbers), names), numbers, names
 
 
 #: The citations in the paragraphs, by their known form: "(Name, year)" and "[n, a-b]".
@@ -319,21 +320,20 @@ def q_year_agnostic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MARKED}, {duck('citations')}, np AS (SELECT DISTINCT lower(c1) AS a, surname AS b FROM citations JOIN ays USING (doc_id)), ns AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS s FROM np) SELECT cit_id, text AS bibliography_hint FROM (SELECT cit_id, text, s, row_number() OVER (PARTITION BY cit_id ORDER BY s DESC, ord) AS n FROM citations c JOIN ays USING (doc_id) JOIN ns ON ns.a = lower(c1) AND ns.b = surname) WHERE n = 1 AND s >= 0.7::DOUBLE")
 def q_bib_hint(spark: SparkSession, sf: str) -> DataFrame:
-    p = _paragraphs(spark, sf)
-    return matching.bibliography_hint(_citations(spark, sf), references.author_year_references(p, references.reference_start(p)))
+    return matching.bibliography_hint(_citations(spark, sf), references.author_year_references(_sections(spark, sf)))
 
 
-_TITLES = "SELECT o_orderkey AS cit_id, concat(p_type, ' ', p_name, CASE WHEN o_orderkey % 2 = 0 THEN ', again' ELSE '' END) AS raw_text, cast(1995 + o_orderkey % 9 AS string) AS year FROM {orders} JOIN {part} ON p_partkey = cast(o_orderkey / 3 AS int) WHERE o_orderkey % 3 = 0 AND o_orderkey < 300"
-_SOME_LIBRARY = "lib AS (SELECT * FROM library WHERE lib_ord < 80)"
+_TITLES = "SELECT o_orderkey AS cit_id, concat(p_type, ' ', p_name, CASE WHEN o_orderkey % 2 = 0 THEN ', again' ELSE '' END) AS raw_text, cast(1995 + o_orderkey % 9 AS string) AS year FROM {orders} JOIN {part} ON p_partkey = o_orderkey"
+_ASKED = f"f AS (SELECT cit_id, year, {_SORTED.format('raw_text')} AS a FROM t), h AS (SELECT lib_ord, item_key, item_year, {_SORTED.format('title')} AS b FROM library), d AS (SELECT a, b FROM (SELECT DISTINCT a FROM f), (SELECT DISTINCT b FROM h) WHERE 200.0 * least(length(a), length(b)) * 1.15::DOUBLE >= 68 * (length(a) + length(b))), r AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS s FROM d)"
 
 
-@query(f"WITH {duck('library')}, {_SOME_LIBRARY}, t AS ({_plain(_TITLES)}), f AS (SELECT cit_id, year, lib_ord, item_key, item_year, {_SORTED.format('raw_text')} AS a, {_SORTED.format('title')} AS b FROM t, lib), d AS (SELECT DISTINCT a, b FROM f), r AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS s FROM d), g AS (SELECT cit_id, lib_ord, item_key, CASE WHEN year = item_year THEN least(1.0::DOUBLE, s * 1.15::DOUBLE) ELSE s END AS score FROM f JOIN r USING (a, b)) SELECT cit_id, lib_ord, item_key, round(score, 6) AS score, score >= 0.68::DOUBLE AS matched FROM (SELECT *, row_number() OVER (PARTITION BY cit_id ORDER BY score DESC, lib_ord) AS n FROM g) WHERE n = 1")
+@query(f"WITH {duck('library')}, t AS ({_plain(_TITLES)}), {_ASKED}, g AS (SELECT cit_id, lib_ord, item_key, CASE WHEN year = item_year THEN least(1.0::DOUBLE, s * 1.15::DOUBLE) ELSE s END AS score FROM f JOIN r USING (a) JOIN h USING (b)) SELECT cit_id, lib_ord, item_key, round(coalesce(score, 0), 6) AS score, coalesce(score >= 0.68::DOUBLE, false) AS matched FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cit_id ORDER BY score DESC, lib_ord) AS n FROM g) k ON k.cit_id = t.cit_id AND n = 1".replace("SELECT cit_id, lib_ord, item_key, round(coalesce", "SELECT t.cit_id, lib_ord, item_key, round(coalesce"))
 def q_title_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    out = matching.title_match(_sql(spark, sf, _TITLES, "orders", "part"), _library(spark, sf).where("lib_ord < 80"))
+    out = matching.title_match(_sql(spark, sf, _TITLES, "orders", "part"), _library(spark, sf))
     return out.select("cit_id", "lib_ord", "item_key", _r6("score"), "matched")
 
 
-_RERANK = f"""tx AS (SELECT cit_id, (SELECT {_SORTED.format("concat('Name, A. ', title, '.')")} FROM library l WHERE l.lib_ord = (cit_id / 3)::INT % 1000) AS ref FROM citations WHERE cit_id % 2 = 0),
+_RERANK = f"""tx AS (SELECT cit_id, (SELECT {_SORTED.format("concat('Name, A. ', title, '.')")} FROM library l WHERE l.lib_ord = cit_id % 1000) AS ref FROM citations WHERE cit_id % 2 = 0),
 ti AS (SELECT x.*, {_SORTED.format('title')} AS b, ref AS a FROM (SELECT e.*, title FROM exact e JOIN library USING (lib_ord)) x JOIN tx USING (cit_id)),
 td AS (SELECT DISTINCT a, b FROM ti), tr AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS t FROM td),
 tw AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS nx FROM ti JOIN tr USING (a, b) WINDOW w AS (PARTITION BY cit_id ORDER BY t DESC, rank)),
@@ -344,7 +344,7 @@ mv AS (SELECT cit_id, rank AS up FROM tw WHERE n = 1 AND rank > 1 AND t > 0.3 AN
 def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
     cites, lib = _citations(spark, sf), _library(spark, sf)
     titles = lib.select((F.col("lib_ord")).alias("t"), F.concat(F.lit("Name, A. "), F.col("title"), F.lit(".")).alias("ref"))
-    texts = cites.withColumn("t", (F.round(F.col("cit_id") / 3).cast("int") % 1000)).join(titles, "t", "left").withColumn("ref_text", F.when(F.col("cit_id") % 2 == 0, F.col("ref")))
+    texts = cites.withColumn("t", F.col("cit_id") % 1000).join(titles, "t", "left").withColumn("ref_text", F.when(F.col("cit_id") % 2 == 0, F.col("ref")))
     return matching.rerank(matching.ranked(matching.scored(cites, lib, 82)), texts, lib).select("cit_id", "item_key", F.col("rank").cast("int").alias("rank"))
 
 
@@ -462,7 +462,7 @@ def q_creators(spark: SparkSession, sf: str) -> DataFrame:
     return library.creators(inputs.spark(spark, sf, "creators")).select("item_id", F.array_join("authors", "|").alias("authors"), F.array_join("editors", "|").alias("editors"))
 
 
-_WORKS = "SELECT p_partkey AS item_id, concat('K', cast(p_partkey AS string)) AS item_key, CASE p_partkey % 5 WHEN 0 THEN 'book' WHEN 1 THEN 'journalArticle' WHEN 2 THEN 'note' WHEN 3 THEN 'podcast' ELSE 'strangeKind' END AS type_name, p_partkey % 50 AS date_added FROM {part} WHERE p_partkey <= 500"
+_WORKS = "SELECT p_partkey AS item_id, concat('K', cast(p_partkey AS string)) AS item_key, CASE p_partkey % 5 WHEN 0 THEN 'book' WHEN 1 THEN 'journalArticle' WHEN 2 THEN 'note' WHEN 3 THEN 'podcast' ELSE 'strangeKind' END AS type_name, p_partkey % 50 AS date_added FROM {part}"
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:

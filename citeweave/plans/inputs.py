@@ -29,7 +29,7 @@ SELECT p_partkey AS lib_ord, concat('K', cast(p_partkey AS string)) AS item_key,
   CASE WHEN p_partkey % 3 = 0 THEN {surname('p_partkey * 5 + 1')} END AS a2,
   CASE WHEN p_partkey % 6 = 0 THEN {surname('p_partkey * 3 + 2')} END AS a3,
   concat(p_name, ' ', p_type) AS title, cast(1995 + p_partkey % 7 AS string) AS item_year
-FROM {{part}} WHERE p_partkey < 1000
+FROM {{part}}
 """
 
 _CITATIONS = f"""
@@ -38,22 +38,22 @@ SELECT cit_id, o % 37 AS doc_id,
   CASE WHEN t % 3 = 0 AND o % 2 = 0 THEN {surname('t * 5 + 1')} END AS c2,
   (t % 6 = 0 AND o % 2 = 1) AS has_et_al,
   cast(1995 + t % 7 + CASE WHEN o % 11 = 0 THEN 1 WHEN o % 13 = 0 THEN 9 ELSE 0 END AS string) AS cit_year
-FROM (SELECT o_orderkey AS cit_id, cast(o_orderkey / 3 AS int) AS o, cast(o_orderkey / 3 AS int) % 1000 AS t, {surname('(cast(o_orderkey / 3 AS int) % 1000) * 7')} AS name FROM {{orders}} WHERE o_orderkey % 3 = 0 AND o_orderkey < 9000)
+FROM (SELECT o_orderkey AS cit_id, cast(o_orderkey AS int) AS o, cast(o_orderkey % 1000 AS int) AS t, {surname('(o_orderkey % 1000) * 7')} AS name FROM {{orders}})
 """
 
-#: One document per nation: filler, a heading (none in some), entries; some without any list.
+#: Documents of 41 paragraphs: filler, a heading (none in some), entries; some without any list.
 _PARAGRAPHS = f"""
-SELECT n_nationkey AS doc_id, i AS para_idx,
-  CASE WHEN n_nationkey % 5 = 4 THEN concat('Plain text number ', cast(i AS string), ' about ', n_name)
-       WHEN i = 20 AND n_nationkey % 5 <> 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'References' ELSE '  Bibliography ' END
-       WHEN i = 5 AND n_nationkey % 5 = 1 THEN 'Literature'
+SELECT d AS doc_id, i AS para_idx,
+  CASE WHEN d % 5 = 4 THEN concat('Plain text number ', cast(i AS string), ' about topic ', cast(d AS string))
+       WHEN i = 20 AND d % 5 <> 3 THEN CASE WHEN d % 2 = 0 THEN 'References' ELSE '  Bibliography ' END
+       WHEN i = 5 AND d % 5 = 1 THEN 'Literature'
        WHEN i > 20 AND i % 7 = 3 THEN ''
-       WHEN i > 20 AND i % 5 = 2 THEN concat('[', cast(i - 20 AS string), '] ', {surname('n_nationkey * 31 + i * 11')}, ', A. Study of ', n_name, ', 19', cast(60 + i AS string), '.')
-       WHEN i > 20 THEN concat({surname('n_nationkey * 31 + i * 11')}, ', B. (20', cast(i % 25 + 10 AS string), '). Work on ', n_name, '.')
-       WHEN i % 6 = 1 THEN concat('As shown (', {surname('n_nationkey * 31 + (i + 20) * 11')}, ', 20', cast((i + 20) % 25 + 10 AS string), ') and [', cast(i AS string), '].')
-       WHEN i % 6 = 2 THEN concat('Results [', cast(i AS string), ', ', cast(i + 2 AS string), '-', cast(i + 4 AS string), '] hold (see ', n_name, ').')
-       ELSE concat('Plain text number ', cast(i AS string), ' about ', n_name) END AS para_text
-FROM {{nation}} CROSS JOIN (SELECT cast(p_partkey - 1 AS int) AS i FROM {{part}} WHERE p_partkey <= 40)
+       WHEN i > 20 AND i % 5 = 2 THEN concat('[', cast(i - 20 AS string), '] ', {surname('d * 31 + i * 11')}, ', A. Study of topic ', cast(d AS string), ', 19', cast(50 + i AS string), '.')
+       WHEN i > 20 THEN concat({surname('d * 31 + i * 11')}, ', B. (20', cast(i % 25 + 10 AS string), '). Work on topic ', cast(d AS string), '.')
+       WHEN i % 6 = 1 THEN concat('As shown (', {surname('d * 31 + (i + 20) * 11')}, ', 20', cast((i + 20) % 25 + 10 AS string), ') and [', cast(i AS string), '].')
+       WHEN i % 6 = 2 THEN concat('Results [', cast(i AS string), ', ', cast(i + 2 AS string), '-', cast(i + 4 AS string), '] hold (see topic ', cast(d AS string), ').')
+       ELSE concat('Plain text number ', cast(i AS string), ' about topic ', cast(d AS string)) END AS para_text
+FROM (SELECT cast(floor(o_orderkey / 41) AS bigint) AS d, cast(o_orderkey % 41 AS int) AS i FROM {{orders}})
 """
 
 #: regions, nations and suppliers as a tree of collections; ids 1.., 101.., 1001..; a few are deleted.
@@ -63,28 +63,30 @@ UNION ALL SELECT cast(n_nationkey + 101 AS bigint), n_name, cast(n_regionkey + 1
 UNION ALL SELECT cast(s_suppkey + 1000 AS bigint), s_name, cast(s_nationkey + 101 AS bigint), 1, s_suppkey % 10 = 9 FROM {supplier}
 """
 
-_COLLECTION_ITEMS = "SELECT cast(1001 + p_partkey % 10 AS bigint) AS coll_id, cast(p_partkey AS bigint) AS item_id, p_partkey % 29 = 3 AS item_deleted FROM {part} WHERE p_partkey <= 1000"
+_COLLECTION_ITEMS = "SELECT cast(1001 + p_partkey % 10 AS bigint) AS coll_id, cast(p_partkey AS bigint) AS item_id, p_partkey % 29 = 3 AS item_deleted FROM {part}"
 
-#: Items' fields, one row each, in order; some repeat, and the last holds.
+#: Items' fields, one row each, in order; some items lack some, some fields repeat, and the last holds.
 _FIELDS = """
 SELECT item_id, field_name, field_value, ord FROM (
-  SELECT p_partkey AS item_id, 'title' AS field_name, p_name AS field_value, 1 AS ord FROM {part} WHERE p_partkey <= 500
-  UNION ALL SELECT p_partkey, 'publisher', p_type, 2 FROM {part} WHERE p_partkey <= 500 AND p_partkey % 2 = 0
-  UNION ALL SELECT p_partkey, 'university', p_brand, 3 FROM {part} WHERE p_partkey <= 500 AND p_partkey % 3 = 0
-  UNION ALL SELECT p_partkey, 'date', concat('May ', cast(1990 + p_partkey % 30 AS string)), 4 FROM {part} WHERE p_partkey <= 500
-  UNION ALL SELECT p_partkey, 'date', concat(cast(1991 + p_partkey % 30 AS string), '-05-01'), 5 FROM {part} WHERE p_partkey <= 500 AND p_partkey % 5 = 0
-  UNION ALL SELECT p_partkey, 'unknownField', p_brand, 6 FROM {part} WHERE p_partkey <= 500 AND p_partkey % 7 = 0)
+  SELECT p_partkey AS item_id, 'title' AS field_name, p_name AS field_value, 1 AS ord FROM {part}
+  UNION ALL SELECT p_partkey, 'publisher', CASE WHEN p_partkey % 2 = 0 THEN p_type END, 2 FROM {part}
+  UNION ALL SELECT p_partkey, 'university', CASE WHEN p_partkey % 3 = 0 THEN p_brand END, 3 FROM {part}
+  UNION ALL SELECT p_partkey, 'date', concat('May ', cast(1990 + p_partkey % 30 AS string)), 4 FROM {part}
+  UNION ALL SELECT p_partkey, 'date', CASE WHEN p_partkey % 5 = 0 THEN concat(cast(1991 + p_partkey % 30 AS string), '-05-01') END, 5 FROM {part}
+  UNION ALL SELECT p_partkey, 'unknownField', CASE WHEN p_partkey % 7 = 0 THEN p_brand END, 6 FROM {part})
+WHERE field_value IS NOT NULL
 """
 
-_CREATORS = f"""
-SELECT p_partkey AS item_id, k AS order_index, CASE WHEN (p_partkey + k) % 11 = 0 THEN '' ELSE {surname('p_partkey * 13 + k')} END AS last_name,
-  CASE WHEN (p_partkey + k) % 22 = 0 THEN '' ELSE concat('F', cast(k AS string)) END AS first_name,
-  CASE WHEN (p_partkey + k) % 5 = 0 THEN 'editor' WHEN (p_partkey + k) % 7 = 0 THEN 'translator' WHEN (p_partkey + k) % 13 = 0 THEN cast(NULL AS string) ELSE 'author' END AS creator_role
-FROM {{part}} CROSS JOIN (SELECT r_regionkey AS k FROM {{region}} WHERE r_regionkey < 4) WHERE p_partkey <= 500 AND k <= p_partkey % 4
-"""
+_CREATORS = " UNION ALL ".join(
+    f"""SELECT p_partkey AS item_id, {k} AS order_index, CASE WHEN (p_partkey + {k}) % 11 = 0 THEN '' ELSE {surname(f'p_partkey * 13 + {k}')} END AS last_name,
+  CASE WHEN (p_partkey + {k}) % 22 = 0 THEN '' ELSE 'F{k}' END AS first_name,
+  CASE WHEN (p_partkey + {k}) % 5 = 0 THEN 'editor' WHEN (p_partkey + {k}) % 7 = 0 THEN 'translator' WHEN (p_partkey + {k}) % 13 = 0 THEN cast(NULL AS string) ELSE 'author' END AS creator_role
+FROM {{part}}"""
+    for k in range(4)
+)
 
 #: What a reviewer did: accepted suggestions, a candidate picked, matches taken back.
-_OVERRIDES = "SELECT o_orderkey AS cit_id, CASE cast(o_orderkey / 3 AS int) % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'pick' ELSE 'unmatch' END AS action, cast(o_orderkey / 3 AS int) % 4 AS pick FROM {orders} WHERE o_orderkey % 3 = 0 AND o_orderkey < 9000 AND cast(o_orderkey / 3 AS int) % 4 = 1"
+_OVERRIDES = "SELECT o_orderkey AS cit_id, CASE o_orderkey % 5 WHEN 0 THEN 'accept' WHEN 1 THEN 'pick' WHEN 2 THEN 'unmatch' ELSE 'none' END AS action, cast(o_orderkey % 4 AS int) AS pick FROM {orders}"
 
 INPUTS = {"library": _LIBRARY, "citations": _CITATIONS, "paragraphs": _PARAGRAPHS, "collections": _COLLECTIONS, "collection_items": _COLLECTION_ITEMS, "fields": _FIELDS, "creators": _CREATORS, "overrides": _OVERRIDES}
 

@@ -24,9 +24,9 @@ def document_citations(paragraphs: DataFrame) -> DataFrame:
     """Citations of paragraphs (path, zone, para_idx, para_text): the body's before the list of references, then those of notes."""
     rows = paragraphs.withColumn("doc_id", F.xxhash64("path"))
     body = rows.where("zone = 'body'").select("doc_id", "para_idx", "para_text")
-    starts = references.reference_start(body)
-    numbers, names = references.numbered_references(body, starts), references.author_year_references(body, starts)
-    found = tokenise.citations(references.body(body, starts), numbers)
+    sections = references.sectioned(body)
+    numbers, names = references.numbered_references(sections), references.author_year_references(sections)
+    found = tokenise.citations(references.body(sections), numbers)
     notes = tokenise.citations(rows.where("zone = 'note'").select("doc_id", "para_idx", "para_text"), numbers, in_footnote=True)
     paths = rows.select("doc_id", "path").distinct()
     return references.with_reference_text(found.unionByName(notes), names).join(paths, "doc_id")
