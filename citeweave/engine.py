@@ -82,8 +82,14 @@ def write(analysis: Analysis, overrides: DataFrame | None = None) -> DataFrame:
 
 
 def report(analysis: Analysis, overrides: DataFrame | None = None) -> DataFrame:
-    """(doc_id, part, ord, line): what is unmatched, a line per display text, then the references that nothing cites."""
+    """(doc_id, part, ord, line): see review.report; no rows where all is matched."""
     none = analysis.results.select("cit_id", F.lit("").alias("action")).limit(0)
-    lines = review.report_lines(review.unmatched(analysis.results, overrides if overrides is not None else none)).withColumn("part", F.lit(0))
-    rest = analysis.uncited.select("doc_id", F.lit(1).alias("part"), (F.col("kind") * 1_000_000 + F.col("ord")).alias("ord"), F.col("text").alias("line"))
-    return lines.select("doc_id", "part", "ord", "line").unionByName(rest)
+    rows = review.unmatched(analysis.results, overrides if overrides is not None else none)
+    titles = analysis.documents.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("title"))
+    return review.report(rows, analysis.uncited, titles)
+
+
+def save_report(report: DataFrame, folder: str) -> None:
+    """One text file per document, in a folder named by its id."""
+    parts = int(report.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    report.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "part", "ord").select("doc_id", "line").write.mode("overwrite").partitionBy("doc_id").text(folder)

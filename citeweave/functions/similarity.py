@@ -49,7 +49,7 @@ def common_length(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
@@ -61,7 +61,7 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """0 to 100; two empty texts are alike."""
-    return pandas_udf(_ratios, "double")(a, b)
+    return pandas_udf(ratios, "double")(a, b)
 
 
 def indel_ratio_native(a: Column, b: Column) -> Column:
@@ -87,3 +87,8 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 def title_form(c: Column) -> Column:
     """Lower case, anything but letters, digits, underscores and white space as a space."""
     return F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " ")
+
+
+def token_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    order = lambda x: None if x is None else " ".join(sorted(x.split()))
+    return ratios(a.map(order), b.map(order))

@@ -100,6 +100,35 @@ def report_lines(rows: DataFrame) -> DataFrame:
     return first.select("doc_id", F.col("cit_id").alias("ord"), F.concat(F.col("display"), F.lit("  ["), place, F.lit("]"), hint, text).alias("line"))
 
 
+def report(rows: DataFrame, uncited: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, part, ord, line): the whole report of each document that has anything unmatched, in order of part and ord.
+
+    rows: what unmatched() gives; uncited: references.uncited(); titles: (doc_id, title), what the documents are called.
+    """
+    lines = report_lines(rows)
+    count = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    block = lambda df, part, *texts: df.select("doc_id", F.lit(part).alias("part"), F.posexplode(F.array(*texts)).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
+    spaced = lambda df, part, c: df.select("doc_id", F.lit(part).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(F.col(c), F.lit("\n")).alias("line"))
+    found = count(lines)
+    head = block(found.join(titles, "doc_id"), 0, F.concat(F.lit("Unmatched citations from: "), F.col("title")), F.concat(F.lit("Total unmatched: "), F.col("n")), F.lit(""))
+    rest = uncited.join(found.select("doc_id"), "doc_id", "left_semi").withColumn("ord", F.col("kind") * 1_000_000_000 + F.col("ord"))
+    middle = block(count(rest), 2, F.lit(""), F.lit("=" * 60), F.concat(F.lit("References listed but not cited in text: "), F.col("n")), F.lit(""))
+    return head.unionByName(spaced(lines, 1, "line")).unionByName(middle).unionByName(spaced(rest, 3, "text"))
+
+
+def summaries(results: DataFrame, library: DataFrame) -> DataFrame:
+    """(cit_id, summary): one line per result for people to read."""
+    items = library.select("item_key", "authors", F.col("year").alias("item_year"), F.coalesce("title", F.lit("")).alias("title"))
+    r = results.join(items, "item_key", "left")
+    names = lambda n: F.array_join(F.slice("authors", 1, n), "; ")
+    item = lambda people, n: F.concat(F.col("display"), F.lit(" → ["), F.col("item_key"), F.lit("] "), people, F.lit(" ("), F.col("item_year"), F.lit(") — "), F.substring("title", 1, n), F.lit("… ("))
+    near = F.concat(F.lit("? "), item(names(2), 50), F.lit("year differs: doc="), F.col("year"), F.lit(", lib="), F.col("item_year"), F.lit(")"))
+    many = F.when(F.size("authors") > 3, F.concat(names(3), F.lit(" et al."))).otherwise(names(3))
+    match = F.concat(F.lit("✓ "), item(many, 60), F.bround(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%)"))
+    none = F.concat(F.lit("✗ "), F.col("display"), F.lit(" — no match found"))
+    return r.select("cit_id", F.when(F.col("outcome") == "suggestion", near).when(F.col("outcome") == "matched", match).otherwise(none).alias("summary"))
+
+
 def citation_id(*parts: Column) -> Column:
     """Eight characters out of what identifies a citation, the same in every run."""
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 8)

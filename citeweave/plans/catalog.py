@@ -46,7 +46,7 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     """The cascade's rows with what a review needs of their citation."""
     cites = _citations(spark, sf)
     shown = text.display_text(F.col("authors"), F.col("year"), F.col("has_et_al"))
-    more = cites.select("cit_id", "doc_id", shown.alias("display"), (F.col("cit_id") % 21 == 0).alias("in_footnote"), (F.col("cit_id") % 40).cast("int").alias("para_idx"), (F.col("cit_id") % 4 * 10).cast("int").alias("char_start"), (F.col("cit_id") % 4 * 10 + 8).cast("int").alias("char_end"))
+    more = cites.select("cit_id", "doc_id", "year", shown.alias("display"), (F.col("cit_id") % 21 == 0).alias("in_footnote"), (F.col("cit_id") % 40).cast("int").alias("para_idx"), (F.col("cit_id") % 4 * 10).cast("int").alias("char_start"), (F.col("cit_id") % 4 * 10 + 8).cast("int").alias("char_end"))
     return more.join(matching.cascade(cites, _library(spark, sf)), "cit_id")
 
 
@@ -405,6 +405,19 @@ def q_report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return review.report_lines(review.unmatched(_results(spark, sf), inputs.spark(spark, sf, "overrides")).withColumn("ref_text", F.lit("")))
 
 
+@query(f"WITH {_CASCADE} SELECT r.cit_id, CASE WHEN outcome = 'suggestion' THEN concat('? ', display, ' → [', r.item_key, '] ', concat_ws('; ', a1, a2), ' (', item_year, ') — ', title[1:50], '… (year differs: doc=', cit_year, ', lib=', item_year, ')') WHEN outcome = 'matched' THEN concat('✓ ', display, ' → [', r.item_key, '] ', concat_ws('; ', a1, a2, a3), ' (', item_year, ') — ', title[1:60], '… (', round_even(confidence * 100, 0)::INT, '%)') ELSE concat('✗ ', display, ' — no match found') END AS summary FROM results r JOIN citations c USING (cit_id) LEFT JOIN library l ON l.item_key = r.item_key")
+def q_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return review.summaries(_results(spark, sf), _library(spark, sf))
+
+
+@query(f"WITH {_CASCADE}, u AS ({_UNSETTLED}), lines AS (SELECT doc_id, cit_id AS ord, concat(display, '  [', CASE WHEN in_footnote THEN 'footnote' ELSE concat('para ', para_idx + 1) END, ']', CASE WHEN outcome = 'suggestion' THEN concat('  [suggestion: ', item_key, ' (', suggestion_year, ')]') ELSE '' END) AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, display ORDER BY cit_id) AS n FROM u) WHERE n = 1), found AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id) SELECT doc_id, 0 AS part, unnest([0, 1, 2])::BIGINT AS ord, unnest([concat('Unmatched citations from: doc', doc_id), concat('Total unmatched: ', n), '']) AS line FROM found UNION ALL SELECT doc_id, 1, ord, concat(line, chr(10)) FROM lines")
+def q_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = review.unmatched(_results(spark, sf), inputs.spark(spark, sf, "overrides")).withColumn("ref_text", F.lit(""))
+    titles = rows.select("doc_id").distinct().withColumn("title", F.concat(F.lit("doc"), F.col("doc_id")))
+    none = spark.createDataFrame([], "doc_id long, kind int, ord long, text string")
+    return review.report(rows, none, titles)
+
+
 @query(f"WITH {_CASCADE}, spans AS (SELECT doc_id, para_idx, char_start, char_end, list(cit_id ORDER BY cit_id) AS ids FROM results GROUP BY ALL) SELECT doc_id, para_idx, char_start, char_end, array_to_string(ids, '|') AS cit_ids, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, char_start DESC)::INT AS group_ord FROM spans")
 def q_span_groups(spark: SparkSession, sf: str) -> DataFrame:
     return review.span_groups(_results(spark, sf)).withColumn("cit_ids", F.array_join(F.col("cit_ids").cast("array<string>"), "|"))

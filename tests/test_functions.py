@@ -44,3 +44,11 @@ def test_scalars(spark):
     assert one(spark, "3, 5-3, 7–9, x", text.expand_numbers) == [3, 7, 8, 9]
     assert len(one(spark, "1-999999999", text.expand_numbers)) == text.MAX_RANGE
     assert one(spark, ", sec. 2", text.locator)["label"] == "section"
+
+
+def test_sql_names(spark):
+    from citeweave.functions import register
+
+    register(spark)
+    row = spark.sql("SELECT indel_ratio('smith', 'smyth') AS r, token_sort_ratio('a bc', 'bc a') AS t, size(parse_paragraph('(Smith, 2020)')) AS n").first()
+    assert (row.r, row.t, row.n) == (80.0, 100.0, 1)

@@ -149,8 +149,10 @@ def test_whole_way(spark, library, folder, tmp_path):
     saved = zipfile.ZipFile(tmp_path / "out" / "one.docx").read("word/document.xml").decode()
     payload = json.loads(ET.fromstring(saved).findall(f".//{office.W}instrText")[1].text.split("CSL_CITATION", 1)[1])
     assert [i["itemData"]["id"] for i in payload["citationItems"]] == [1, 3] and payload["citationItems"][0]["locator"] == "4"
-    lines = [x.line for x in engine.report(a).orderBy("ord").collect()]
-    assert sorted(lines) == ["(Lee, 2002)  [para 1]  [suggestion: CCC (2001)]", "(Nobody, 1990)  [para 1]"]
+    lines = [x.line for x in engine.report(a).orderBy("part", "ord").collect()]
+    assert lines[1:3] == ["Total unmatched: 2", ""] and sorted(lines[3:]) == ["(Lee, 2002)  [para 1]  [suggestion: CCC (2001)]\n", "(Nobody, 1990)  [para 1]\n"]
+    engine.save_report(engine.report(a), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first().value.startswith("Unmatched citations from: ")
     assert a.counts().first().asDict() == {"matched": 4, "ambiguous": 0, "suggestions": 1, "total": 6, "unmatched": 1}
 
 
