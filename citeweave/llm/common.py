@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes that a batch may hold, about; a longer row is a batch of its own.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 
 
 def slices(b: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

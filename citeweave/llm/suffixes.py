@@ -227,7 +227,7 @@ def _later_strings(length: int):
         for b in batches:
             kept.append((*(b.column(c).to_numpy() for c in ("rank", "doc_id", "at")), b.column("around").to_pylist()))
             size += b.num_rows
-            if size < 20_000:
+            if size < 10_000:
                 continue
             rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
             around = [x for k in kept for x in k[3]]
