@@ -11,8 +11,9 @@ position of a corpus moves many times its size, so the ranks are taken where the
   bytes are ranked by the pair of ranks at half of LENGTH bytes and at as many further on, and in each class of equal
   pairs all but the smallest document lose the string.
 
-Equal texts are one class from the start (by SHA-256): a copy of a document with a smaller id goes whole, if it has
-LENGTH bytes at all. Memory: a batch of texts, a bucket of BUCKET ranks, or the positions of one rank.
+Equal texts are one class from the start (by 128 bits of SHA-256): a copy of a document with a smaller id goes whole, if it has
+LENGTH bytes at all. Memory: a batch of texts, a bucket of BUCKET ranks, or CHUNK positions; a rank with
+more positions is taken in chunks, whose open strings meet once more by name.
 
 Cases: a null or empty text has no bytes and keeps the digest of nothing; texts shorter than LENGTH stay; of repeated
 rows with one id, each is judged as that document; rows without an id stay as they are and don't remove anything; an
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ from citeweave.llm.common import map_batches, mix64, read, rolling, sha256, slic
 LENGTH, SEED = 50, 20
 #: Of a rank; spread evenly, as least values lie close together. Ranks that are equal by chance cost time, not results.
 BITS = 44
-#: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece.
-BUCKET, SLICE, PIECE = 1_000_000, 250_000, 4_000_000
+#: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece; rows
+#: of a rank that are compared in one place.
+BUCKET, SLICE, PIECE, CHUNK = 1_000_000, 250_000, 4_000_000, 10_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -68,6 +71,17 @@ def _blob_ranks(blob: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel().astype(np.int64))
 
 
+def _packed(ranks: np.ndarray) -> bytes:
+    """Few ranks, six bytes each."""
+    return ranks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
 def _seed_batches(n_buckets: int, length: int, seed: int):
     """Texts to (bucket, key, ranks, owners): ranks for a bucket, each with one text that has it; bucket -1: ranks that the text `key` shares within the batch."""
 
@@ -97,7 +111,7 @@ def _seed_batches(n_buckets: int, length: int, seed: int):
             for part in np.split(np.arange(len(ws)), np.flatnonzero(np.diff(ws)) + 1):
                 out["bucket"].append(-1)
                 out["key"].append(int(keys[ws[part[0]]]))
-                out["ranks"].append(_ranks_blob(rs[part]))
+                out["ranks"].append(_packed(rs[part]))
                 out["owners"].append(b"")
         rank, who = rank[first], who[first]
         bucket = (rank >> BITS - 32) * n_buckets >> 32
@@ -147,7 +161,7 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             by = np.argsort(who, kind="stable")
             rank, who = rank[by], who[by]
             new = np.flatnonzero(np.diff(who)) + 1
-            yield pa.RecordBatch.from_pydict({"key": pa.array(who[np.r_[0, new]]), "ranks": pa.array([_ranks_blob(x) for x in np.split(rank, new)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(who[np.r_[0, new]]), "ranks": pa.array([_packed(x) for x in np.split(rank, new)], pa.binary())})
 
     kept: list[tuple[bytes, bytes]] = []
     now = None
@@ -168,80 +182,125 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _positions(length: int, seed: int):
-    """Texts with their shared ranks to (rank, doc_id, at, around): runs of positions and the bytes of their strings."""
+    """Texts with their shared ranks to (rank, doc_id, at, around): runs of positions and the bytes of their strings.
+
+    Of equal runs of one batch only that of the smallest document goes on; the others are covered by it, and are given
+    without rank or bytes, as (at, past).
+    """
 
     def run(b: dict) -> dict:
-        out: dict[str, list] = {"rank": [], "doc_id": [], "at": [], "around": []}
-        for i, t, blobs in zip(b["doc_id"], b["text"], b["blobs"], strict=True):
+        out: dict[str, list] = {"rank": [], "doc_id": [], "at": [], "past": [], "around": []}
+        first: dict[bytes, int] = {}
+        for i, t, blobs in sorted(zip(b["doc_id"], b["text"], b["blobs"], strict=True), key=lambda x: x[0]):
             data = t.encode()
-            shared = np.unique(np.concatenate([_blob_ranks(x) for x in blobs]))
+            shared = np.unique(_unpacked(b"".join(blobs)))
             for rank, start, end in runs(data, length, seed):
                 on = shared[np.minimum(np.searchsorted(shared, rank), len(shared) - 1)] == rank
-                out["rank"] += rank[on].tolist()
-                out["at"] += start[on].tolist()
-                out["doc_id"] += [i] * int(on.sum())
-                out["around"] += [data[s : e + length - 1] for s, e in zip(start[on].tolist(), end[on].tolist(), strict=True)]
+                for r, s, e in zip(rank[on].tolist(), start[on].tolist(), end[on].tolist(), strict=True):
+                    bytes_ = data[s : e + length - 1]
+                    own = first.setdefault(bytes_, i) == i
+                    out["rank"].append(r if own else None)
+                    out["doc_id"].append(i)
+                    out["at"].append(s)
+                    out["past"].append(None if own else s + len(bytes_))
+                    out["around"].append(bytes_ if own else None)
         return out
 
     return run
 
 
-def _later_strings(length: int):
-    """Rows sorted by rank to (doc_id, a, b): bytes under strings that a smaller document has."""
+def _later_strings(length: int, chunk: int):
+    """Rows sorted by rank, then document, to (name, high, doc_id, a, b): bytes under strings that a smaller document has.
+
+    A rank with more rows than a chunk is taken chunk by chunk, so memory doesn't grow with it. What a chunk can't
+    settle alone, its strings that no smaller document of the chunk has, is given with the string's name, for
+    _across_chunks().
+    """
     half = length // 2
+    names = ("name", "high", "doc_id", "a", "b")
 
-    def answer(rank: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[bytes]) -> pa.RecordBatch:
-        several = np.zeros(len(rank), bool)
-        several[1:] = rank[1:] == rank[:-1]
-        several[:-1] |= several[1:].copy()
+    def rows(name, high, doc, a, b) -> pa.RecordBatch:
+        none = lambda: pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([none() if name is None else pa.array(name.view(np.int64)), none() if high is None else pa.array(high.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, a, b))], names=names)
+
+    def answer(rank: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[bytes], large: int | None) -> Iterator[pa.RecordBatch]:
+        several = rank == (-1 if large is None else large)
+        several[1:] |= rank[1:] == rank[:-1]
+        several[:-1] |= rank[1:] == rank[:-1]
         pick = np.flatnonzero(several)
-        out = ([], [], [])
-        if len(pick):
-            rank, doc, at, around = rank[pick], doc[pick], at[pick], [around[k] for k in pick.tolist()]
-            size = np.array([len(x) for x in around], np.int64)
-            values = np.frombuffer(b"".join(around), np.uint8).astype(np.uint64) + np.uint64(1)
-            begin = np.cumsum(size) - size
-            many = size - length + 1
-            row = np.repeat(np.arange(len(size)), many)
-            place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            ranks = rolling(values, half)
-            low, high = ranks[place], ranks[place + length - half]  # the pair of ranks; one hash of it, beside the rank of the seed
-            name = low * np.uint64(0x9E3779B97F4A7C15) ^ (high << np.uint64(31) | high >> np.uint64(33)) ^ rank[row].astype(np.uint64) << np.uint64(13)
-            order = np.lexsort((doc[row], high, name))
-            n, h, d = name[order], high[order], doc[row][order]
-            first = np.r_[True, (n[1:] != n[:-1]) | (h[1:] != h[:-1])]
-            least = d[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            goes = np.zeros(len(row), bool)
-            goes[order] = d > least
-            g = np.flatnonzero(goes)
-            if len(g):  # neighbouring positions of a run are one span
-                new = np.r_[True, (np.diff(g) > 1) | (row[g][1:] != row[g][:-1])]
-                a, z = g[new], np.r_[g[np.flatnonzero(new)[1:] - 1], g[-1]]
-                shift = at[row] + place - begin[row]
-                out = (doc[row[a]], shift[a], shift[z] + length)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(out[0], pa.int64()), "a": pa.array(out[1], pa.int64()), "b": pa.array(out[2], pa.int64())})
+        if not len(pick):
+            return
+        rank, doc, at, around = rank[pick], doc[pick], at[pick], [around[k] for k in pick.tolist()]
+        size = np.array([len(x) for x in around], np.int64)
+        values = np.frombuffer(b"".join(around), np.uint8).astype(np.uint64) + np.uint64(1)
+        begin = np.cumsum(size) - size
+        many = size - length + 1
+        row = np.repeat(np.arange(len(size)), many)
+        place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        ranks = rolling(values, half)
+        low, high = ranks[place], ranks[place + length - half]  # the pair of ranks; one hash of it, beside the rank of the seed
+        name = low * np.uint64(0x9E3779B97F4A7C15) ^ (high << np.uint64(31) | high >> np.uint64(33)) ^ rank[row].astype(np.uint64) << np.uint64(13)
+        order = np.lexsort((doc[row], high, name))
+        n, h, d = name[order], high[order], doc[row][order]
+        new = np.r_[True, (n[1:] != n[:-1]) | (h[1:] != h[:-1])]
+        least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        goes = np.zeros(len(row), bool)
+        goes[order] = d > least
+        shift = at[row] + place - begin[row]
+        g = np.flatnonzero(goes)
+        if len(g):  # neighbouring positions of a run are one span
+            new = np.r_[True, (np.diff(g) > 1) | (row[g][1:] != row[g][:-1])]
+            a, z = g[new], np.r_[g[np.flatnonzero(new)[1:] - 1], g[-1]]
+            yield rows(None, None, doc[row[a]], shift[a], shift[z] + length)
+        if large is not None and len(o := np.flatnonzero(~goes & (rank[row] == large))):
+            yield rows(name[o], high[o], doc[row[o]], shift[o], shift[o] + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
-        size = 0
+        size, large = 0, None
         for b in batches:
-            kept.append((*(b.column(c).to_numpy() for c in ("rank", "doc_id", "at")), b.column("around").to_pylist()))
+            done = b.filter(pa.compute.is_null(b.column("rank")))
+            if done.num_rows:
+                yield rows(None, None, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "at", "past")))
+            b = b.filter(pa.compute.is_valid(b.column("rank")))
+            if not b.num_rows:
+                continue
+            kept.append((*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "doc_id", "at")), b.column("around").to_pylist()))
             size += b.num_rows
-            if size < 10_000:
+            if size < chunk:
                 continue
             rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
             around = [x for k in kept for x in k[3]]
             last = int(np.searchsorted(rank, rank[-1]))  # the last rank's rows may go on
-            kept, size = [(rank[last:], doc[last:], at[last:], around[last:])], len(rank) - last
             if last:
-                yield answer(rank[:last], doc[:last], at[:last], around[:last])
+                kept, size = [(rank[last:], doc[last:], at[last:], around[last:])], len(rank) - last
+                yield from answer(rank[:last], doc[:last], at[:last], around[:last], large)
+                large = None if large != rank[-1] else large
+            if size >= chunk and rank[0] == rank[-1] or size >= 2 * chunk:
+                large = int(rank[-1])
+                yield from answer(rank[last:], doc[last:], at[last:], around[last:], large)
+                kept, size = [], 0
         if size:
             rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
-            yield answer(rank, doc, at, [x for k in kept for x in k[3]])
+            yield from answer(rank, doc, at, [x for k in kept for x in k[3]], large)
 
     return run
 
 
+def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by name, high and document to (doc_id, a, b): those without a name, and those whose string an earlier document has."""
+    key, first = None, None
+    for b in batches:
+        name, high, doc = (pa.compute.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in ("name", "high", "doc_id"))
+        keep = b.column("name").is_null().to_numpy(zero_copy_only=False).copy()
+        for k in np.flatnonzero(~keep).tolist():
+            if (name[k], high[k]) != key:
+                key, first = (name[k], high[k]), doc[k]
+            keep[k] = doc[k] > first
+        if keep.any():
+            yield b.filter(pa.array(keep)).select(["doc_id", "a", "b"])
+
+
 def _keep(length: int):
     def spans(data: bytes, cuts: list[tuple[int, int]], copy: bool) -> list[tuple[int, int]]:
         if copy:
@@ -273,7 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-int(total * 2 / (length - seed + 2)) // BUCKET))
-    named = known.select("doc_id", F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    named = known.select("doc_id", F.xxhash64("text").alias("key"), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("sha"))
     least = named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
     copies = named.join(least.select("sha", "rep"), "sha").where("doc_id > rep").select("doc_id").distinct()
     seeds = map_batches(known.select(F.xxhash64("text").alias("key"), "text"), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary")
@@ -281,8 +340,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     shared = by_key.mapInArrow(_shared_ranks, "key long, ranks binary")
     for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id")), "key").groupBy("doc_id").agg(F.collect_list("ranks").alias("blobs"))
     moved = texts.where("doc_id is not null").repartition(parts, "doc_id")
-    positions = map_batches(moved.join(for_doc, "doc_id"), _positions(length, seed), "rank long, doc_id long, at long, around binary", ("doc_id", "text", "blobs"))
-    later = positions.repartition(parts, "rank").sortWithinPartitions("rank", "doc_id").mapInArrow(_later_strings(length), "doc_id long, a long, b long")
+    positions = map_batches(moved.join(for_doc, "doc_id"), _positions(length, seed), "rank long, doc_id long, at long, past long, around binary", ("doc_id", "text", "blobs"))
+    by_rank = positions.repartition(parts, F.coalesce("rank", F.xxhash64("doc_id"))).sortWithinPartitions("rank", "doc_id")
+    found = by_rank.mapInArrow(_later_strings(length, CHUNK), "name long, high long, doc_id long, a long, b long")
+    by_name = found.repartition(parts, F.coalesce("name", F.xxhash64("doc_id", "a"))).sortWithinPartitions("name", "high", "doc_id")
+    later = by_name.mapInArrow(_across_chunks, "doc_id long, a long, b long")
     cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     marks = cuts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select("doc_id", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
     none = texts.where("doc_id is null").select("doc_id", *own, F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
