@@ -75,6 +75,20 @@ def test_suffix_dedup_small_pieces(spark, monkeypatch):
     assert got == {k: v[1] for k, v in removed(texts).items()}
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 10])
+def test_suffix_dedup_large_ranks(spark, monkeypatch, chunk):
+    """A rank with more positions than a chunk: settled by chunks and across them, with and without equal runs in a batch."""
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    line = "".join(rng.choices("abcdefgh", k=90))
+    texts = corpus(4, 30) + [(5000 + k, "".join(rng.choices("xyz", k=30)) + line[k % 4 :] + "".join(rng.choices("xyz", k=rng.randint(0, 30)))) for k in range(60)]
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    for parts in (1, 5):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup_digest(docs(session, texts).repartition(parts)).collect()}
+        assert got == removed(texts)
+
+
 def test_suffix_dedup_cases(spark):
     p = "p" * 10 + "".join(map(chr, range(200, 260)))
     texts = [(1, p), (1, p), (2, p), (None, p), (None, None)]
