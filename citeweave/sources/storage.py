@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         app = spark.sparkContext.applicationId
-        at = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="citeweave-checkpoint-"))
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="citeweave-checkpoint-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        at = _OWN[app]
     return at.rstrip("/")
 
 
