@@ -6,7 +6,7 @@ from citeweave.sources import storage
 def test_setting_of_the_session(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.range(5)
-    assert storage.stored(df, "numbers").count() == 5 and storage.stored(df.limit(0), "none").schema == df.schema
+    assert storage.stored(df, "numbers").count() == 5 and storage.stored(df.limit(0), "none").dtypes == df.dtypes
 
 
 def test_unset():
