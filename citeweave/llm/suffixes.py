@@ -38,7 +38,7 @@ LENGTH, SEED = 50, 20
 BITS = 44
 #: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece; rows
 #: of a rank that are compared in one place.
-BUCKET, SLICE, PIECE, CHUNK = 1_000_000, 250_000, 4_000_000, 10_000
+BUCKET, SLICE, PIECE, CHUNK = 2_000_000, 250_000, 4_000_000, 10_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
