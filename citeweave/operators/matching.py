@@ -126,7 +126,10 @@ def low_candidates(citations: DataFrame, library: DataFrame, t: Thresholds = Thr
     items = item_names(library)
     pools = items.unionByName(items.withColumn("pool", F.lit("")))  # a year that isn't a number looks at all items
     right = pools.select("lib_ord", "item_key", "pool", F.size("names").alias("m"), F.explode(name_forms(F.get("names", 0), False)).alias("b"), F.lower(strip_particles(F.get("names", 1))).alias("b2")).distinct()
-    pairs = left.join(names, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3").withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
+    pairs = left.join(names, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3")
+    # What no second author could lift to the lower threshold goes before second authors are compared.
+    most = F.when((F.col("n") > 1) & (F.col("m") > 1), F.col("s1") * F.col("own") * 0.7 + F.col("own") * 0.3).otherwise(F.col("s1") * F.col("own"))
+    pairs = pairs.where(most >= t.candidate / 100 - 1e-9).withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
     s = F.col("s1") * F.col("own")
     score = F.when((F.col("n") > 1) & (F.col("m") > 1), s * 0.7 + F.col("s2") * 0.3 * F.col("own")).otherwise(s)
     best = pairs.groupBy("cit_id", "lib_ord", "item_key", "ord").agg(F.max(score).alias("score"))
