@@ -206,6 +206,27 @@ def test_passages(spark):
     assert (by[3, 1].start_word, by[3, 1].end_word, by[8, 1].start_word) == (0, 60, 500)
 
 
+def test_passages_several_in_a_pair(spark):
+    rng = random.Random(10)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts, want = {}, {}
+    for k, (size, gap) in enumerate([(45, 30), (45, 60), (45, 150), (60, 60), (60, 150), (100, 60), (100, 150), (200, 150), (200, 500), (50, 20)]):
+        parts = [text(size) for _ in range(2 + k % 2)]
+        for side in (0, 1):
+            words = text(30)
+            for p in parts:
+                want.setdefault((2 * k + side), []).append(len(words))
+                words = words + p + text(gap)
+            texts[2 * k + side] = words
+        want[2 * k + 1] = [(s, s + size) for s in want[2 * k + 1]]
+    got = passages.passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()
+    for i in range(1, 20, 2):
+        spans = [(r.start_word, r.end_word) for r in got if r.doc_id == i and r.other_id == i - 1]
+        for s, e in want[i]:  # each of them, as brute force over equal words has it, and little of the text between
+            assert any(a <= s + 1 and b >= e - 1 for a, b in spans), (i, s, e, spans)
+        assert spans and (i == 19 or sum(b - a for a, b in spans) <= sum(e - s for s, e in want[i]) + 12)
+
+
 def test_passages_many_copies_stay_linear(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
