@@ -227,6 +227,26 @@ def test_passages_several_in_a_pair(spark):
         assert spans and (i == 19 or sum(b - a for a, b in spans) <= sum(e - s for s, e in want[i]) + 12)
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(11)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts, want = {}, {}
+    for k in range(45):
+        sizes = [[30, 30], [35, 35, 35], [30] * 4, [40], [20, 20, 20]][k % 5]
+        parts = [text(n) for n in sizes]
+        for j, part in enumerate(parts if len(parts) > 1 else []):
+            texts[10 * k + j] = text(30) + part + text(30)
+        for j in (8, 9):
+            texts[10 * k + j] = text(20 + k) + [w for p in parts for w in p] + text(25)
+        want[10 * k + 9] = (20 + k, 20 + k + sum(sizes))
+    table = docs(spark, [(i, " ".join(w)) for i, w in texts.items()])
+    for parts in (1, 7):
+        got = passages.passages(table.repartition(parts, "doc_id")).collect()
+        spans = {(r.doc_id, r.start_word, r.end_word) for r in got if r.doc_id - r.other_id == 1 and r.doc_id % 10 == 9}
+        for i, (s, e) in want.items():
+            assert any(d == i and a <= s and b >= e for d, a, b in spans), (i, s, e)
+
+
 def test_passages_many_copies_stay_linear(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
