@@ -21,8 +21,9 @@ SYMBOLS = "#*$%&|<>"
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINES, LINE_CHARS = 0.30, 0.20
-#: One passage or line said a second time is no repetition yet: a measure counts from so many repeats on.
-RUNS = 2
+#: Separate runs of repeated words from which an n-gram measure counts: any. Of the lines' measures only the share by number
+#: needs two duplicates, as one of three short lines would be above it; the characters of a single one count.
+RUNS, LEAST_LINES = 1, 2
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, dup_line_share double, dup_line_chars double, top_share double, dup_share double, kept boolean"
 
@@ -92,20 +93,18 @@ def measure(text: str | None) -> dict:
             n_repeat = int(covered(starts, 3, n).sum())
         if len(starts) and k in TOP:
             size = np.convolve(lens, np.ones(k, np.int64), "valid")[starts]
-            count = np.bincount(group)
-            top = max(top, float((np.bincount(group, size) * (count > RUNS)).max()) / chars / TOP[k])
+            top = max(top, float(np.bincount(group, size).max()) / chars / TOP[k])
         elif len(starts):
             again = np.ones(len(starts), bool)  # the first of a group doesn't count, as in a duplicated line
             again[np.unique(group, return_index=True)[1]] = False
             inside = covered(starts[again], k, n)
-            if np.count_nonzero(np.diff(inside.astype(np.int8), prepend=0) == 1) >= RUNS:
-                dup = max(dup, float(lens[inside].sum()) / chars / DUPLICATED[k])
+            dup = max(dup, float(lens[inside].sum()) / chars / DUPLICATED[k])
         # a longer n-gram is found twice only where both shorter ones that it holds are
         flag = np.zeros(n + 1, bool)
         flag[starts] = True
         at = starts[flag[starts + 1]] if len(starts) else starts
         at = at[at + k + 1 <= n]
-    lines, in_lines = (n_dup / n_lines, dup_chars / line_chars) if n_dup >= RUNS else (0.0, 0.0)
+    lines, in_lines = n_dup / n_lines if n_dup >= LEAST_LINES else 0.0, dup_chars / line_chars if n_dup else 0.0
     base_failed = n < 50 or 100 * n_repeat > 50 * n
     return {
         "n_words": n, "word_chars": chars, "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "base_failed": base_failed,

@@ -63,6 +63,19 @@ def test_quality_verdict():
     assert quality.measure("x " * 200_000)["base_failed"]
 
 
+def test_quality_repeats_in_one_run():
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    for times in (8, 12, 20):  # a fifth to 45% of the words, in a row on one line
+        m = quality.measure(words("fresh", 600) + " " + " ".join([words("again", 25)] * times))
+        assert not m["base_failed"] and m["dup_share"] > 1 and not m["kept"]
+    m = quality.measure(" ".join([words("a", 300), words("said", 240), words("b", 300), words("said", 240)]))
+    assert m["dup_share"] > 2 and not m["kept"]
+    m = quality.measure(words("fresh", 160) + "\n" + "\n".join([words("line", 80)] * 2))
+    assert m["n_dup_lines"] == 1 and m["dup_line_chars"] > quality.LINE_CHARS and not m["kept"]
+    m = quality.measure(words("fresh", 60) + " " + "x" * 90 + " y " + words("b", 60) + " " + "x" * 90 + " y")
+    assert m["top_share"] * quality.TOP[2] == pytest.approx(182 / m["word_chars"])
+
+
 def test_quality_collision(monkeypatch):
     monkeypatch.setattr(quality, "rolling", lambda ids, n: ids[: len(ids) - n + 1] * 0)
     text = "a b c d e f a b c g"
