@@ -21,11 +21,11 @@ SYMBOLS = "#*$%&|<>"
 TOP = {2: 0.20, 3: 0.18, 4: 0.16}
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINES, LINE_CHARS = 0.30, 0.20
-#: Separate runs of repeated words from which an n-gram measure counts: any. Of the lines' measures only the share by number
-#: needs two duplicates, as one of three short lines would be above it; the characters of a single one count.
-RUNS, LEAST_LINES = 1, 2
+#: The share of lines by number needs two duplicates, as one of three short lines would be above it; the characters of a
+#: single one count, and so does every n-gram found twice.
+LEAST_LINES = 2
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, dup_line_share double, dup_line_chars double, top_share double, dup_share double, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_share double, dup_line_chars double, top_share double, dup_share double"
 
 
 def repeated(ids: np.ndarray, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +104,12 @@ def measure(text: str | None) -> dict:
         flag[starts] = True
         at = starts[flag[starts + 1]] if len(starts) else starts
         at = at[at + k + 1 <= n]
-    lines, in_lines = n_dup / n_lines if n_dup >= LEAST_LINES else 0.0, dup_chars / line_chars if n_dup else 0.0
+    lines, in_lines = n_dup / n_lines if n_dup >= LEAST_LINES else 0.0, dup_chars / max(1, line_chars)
     base_failed = n < 50 or 100 * n_repeat > 50 * n
     return {
         "n_words": n, "word_chars": chars, "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "base_failed": base_failed,
-        "dup_line_share": lines, "dup_line_chars": in_lines, "top_share": top, "dup_share": dup,
         "kept": not base_failed and top <= 1 and dup <= 1 and lines <= LINES and in_lines <= LINE_CHARS,
+        "dup_line_share": lines, "dup_line_chars": in_lines, "top_share": top, "dup_share": dup,
     }
 
 

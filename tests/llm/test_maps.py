@@ -49,9 +49,23 @@ def test_quality_shares():
                 if g in seen:
                     inside[i : i + n] = [True] * n
                 seen.add(g)
-            if sum(b and not a for a, b in zip([False, *inside], inside, strict=False)) >= quality.RUNS:
-                dup = max(dup, sum(len(w) for w, x in zip(words, inside, strict=True) if x) / sum(map(len, words)) / limit)
-        assert abs(m["dup_share"] - dup) < 1e-12
+            dup = max(dup, sum(len(w) for w, x in zip(words, inside, strict=True) if x) / sum(map(len, words)) / limit)
+        grams = {n: Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) for n in quality.TOP}
+        top = max(c * sum(map(len, g)) / sum(map(len, words)) / quality.TOP[n] for n, found in grams.items() for g, c in found.items() if c > 1)
+        assert abs(m["dup_share"] - dup) < 1e-12 and abs(m["top_share"] - top) < 1e-12
+
+
+def test_quality_equals_its_sql(spark):
+    import duckdb
+
+    from citeweave.llm import catalog
+
+    sf = "/root/testdata/sf0.001"
+    duckdb_rows = duckdb.sql(catalog.QUALITY_SQL.replace("FROM documents", f"FROM '{sf}/documents.parquet'"))
+    got = quality.op1_quality_rules(spark, sf)
+    names = sorted(got.columns)
+    assert sorted(duckdb_rows.columns) == names and got.columns[6:8] == ["base_failed", "kept"]
+    assert rows(got, *names) == sorted(tuple(str(r[duckdb_rows.columns.index(n)]) for n in names) for r in duckdb_rows.fetchall())
 
 
 def test_quality_verdict():
