@@ -470,6 +470,33 @@ def test_toxicity_held_out(spark):
     assert [f.score for f in toxicity.score(df, toxicity.train(df, labels)).orderBy("doc_id").collect()] == [got[k].score for k in sorted(got)]
 
 
+def test_toxicity_of_pairs_alone():
+    """Two words that tell nothing one by one: a text is toxic where it has both or neither."""
+    rng = random.Random(1)
+    terms, rows_, labels = toxicity.Terms(), [], []
+    for _ in range(3000):
+        both = rng.random() < 0.5, rng.random() < 0.5
+        body = rng.choices([f"word{k}" for k in range(200)], k=rng.randint(5, 40)) + ["insult"] * both[0] + ["groupname"] * both[1]
+        rows_.append(np.array(terms(" ".join(body)), np.int32))
+        labels.append(float(both[0] == both[1]))
+    m = toxicity.fit(rows_[:2400], np.array(labels[:2400]))
+    assert all(m.place[t] >= 0 for w in ("insult", "groupname") for t in toxicity.numbers(w))
+    held = [m.place[r][m.place[r] >= 0] for r in rows_[2400:]]
+    p = m.logits(np.concatenate(held), np.array(list(map(len, held))))
+    assert np.mean((p > 0) == np.array(labels[2400:], bool)) >= 0.9
+
+
+def test_logits_are_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, np.arange(50, dtype=np.int32), rng.normal(size=50), rng.normal(size=(50, toxicity.FACTORS)), 5.0)
+    some = [np.sort(rng.choice(50, k, replace=False)) for k in (0, 1, 2, 7, 0, 50, 13, 0)]
+    got = m.logits(np.concatenate(some), np.array(list(map(len, some))))
+    for row, x in zip(some, got.tolist(), strict=True):
+        pairs = sum(float(m.vectors[i] @ m.vectors[j]) for k, i in enumerate(row) for j in row[k + 1 :])
+        assert abs(x - (0.3 + m.weights[row].sum() + pairs / max(5, len(row)))) < 1e-9
+        assert m.logits(row, np.array([len(row)]))[0] == x  # whatever stands beside it
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     df, labels, _ = toxic_tables(spark, 300)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
