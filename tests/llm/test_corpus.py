@@ -310,6 +310,40 @@ def test_neighbours(spark):
     assert {len([1 for r in neighbours.nearest(spark.createDataFrame(table[:3], "vec_id long, embedding array<double>")).collect()])} == {2}
 
 
+def test_neighbours_of_one_direction(spark):
+    """Multiples of one vector tie exactly, and so do mirror images: the smaller ids win, wherever they stand."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=8).astype(np.float32)
+    table = [(k, [float(x) for x in v * np.float32(2.0 ** ((k * 7) % 23 - 11))]) for k in range(60, 100)] + [(50, [float(x) for x in v])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id) for r in neighbours.nearest(df).collect())
+    assert got == [(n + 1, 60 + n) for n in range(5)]
+    side = [[0.6, 0.8, 0.0], [0.6, 0.0, -0.8], [0.6, -0.8, 0.0], [0.6, 0.0, 0.8]]
+    mirror = [(100, [1.0, 0.0, 0.0])] + [(163 - k, side[k % 4]) for k in range(13)]
+    got = [r.vec_id for r in sorted(neighbours.nearest(spark.createDataFrame(mirror, "vec_id long, embedding array<double>")).collect(), key=lambda r: r["rank"]) if r.query_id == 100]
+    assert got == [151, 152, 153, 154, 155]
+
+
+def test_neighbours_cells(spark, monkeypatch):
+    """Clusters in many cells: nothing near is lost, and far cells aren't searched."""
+    monkeypatch.setattr(neighbours, "PER_CELL", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 10))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(60, 10)) for c in centres])
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, block=40, sample=400).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, len(x), 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        want |= {(q, int(v)) for v in np.argsort(-s)[:5]}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+    nodes = neighbours.split_cells(x[:, :4], 16)
+    cells = neighbours.cells_of(x[:, :4], nodes)
+    assert len(set(cells.tolist())) == cells.max() + 1 > 8
+
+
 def test_recall_on_test_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     table = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
