@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -381,6 +382,32 @@ def test_html_blocks(page, expected):
     assert [t for t, _ in html.blocks(page)] == expected
 
 
+def test_html_marks_are_exact():
+    texts = lambda page: [t for t, _ in html.blocks(page)]
+    assert texts('<div class="layout no-sidebar"><article><div class="post-header"><h1>Title</h1></div><p>x</p></article></div>') == ["Title", "x"]
+    assert texts('<article><div class="header"><h1>Title</h1></div><div class="ad">no</div><p>x</p></article>') == ["Title", "x"]
+    assert texts('<div class="site-header">no</div><div id="left sidebar">no</div><div role="navigation">no</div><div class="widgetry">yes</div>') == ["yes"]
+
+
+def test_html_scan_is_linear():
+    began = time.time()
+    for piece in ("<a ", '<a "', "<a x='", '<a x="', "<!--", "<script>", "</", "<p>"):
+        html.blocks(piece * (2_000_000 // len(piece)))
+    assert time.time() - began < 60
+
+
+def test_suffix_array():
+    rng = random.Random(3)
+    for _ in range(80):
+        x = np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 40))] + [-1])
+        order, common = html.suffix_array(x)
+        tails = sorted(range(len(x)), key=lambda k: x[k:].tolist())
+        assert order.tolist() == tails
+        for k in range(1, len(x)):
+            a, b = x[tails[k - 1] :].tolist(), x[tails[k] :].tolist()
+            assert common[k] == next((j for j, (u, v) in enumerate(zip(a, b, strict=False)) if u != v), min(len(a), len(b)))
+
+
 def test_host_suffix_array():
     rng = random.Random(4)
     for _ in range(60):
@@ -388,13 +415,65 @@ def test_host_suffix_array():
         runs = {}
         for k, s in enumerate(streams):
             for i in range(len(s) - 3):
-                runs.setdefault(tuple(s[i : i + 4]), set()).add(k)
-        for s, got in zip(streams, html.repeated_tokens(streams, 4, 2), strict=True):
+                runs.setdefault(" ".join(s[i : i + 4]), set()).add(k)
+        assert html.repeated_runs(streams, 4, 2) == {r: len(on) for r, on in runs.items() if len(on) > 1}
+        for s in streams:
             want = [False] * len(s)
             for i in range(len(s) - 3):
-                if len(runs[tuple(s[i : i + 4])]) > 1:
+                if len(runs[" ".join(s[i : i + 4])]) > 1:
                     want[i : i + 4] = [True] * 4
-            assert got.tolist() == want
+            assert html.covered(s, {r for r, on in runs.items() if len(on) > 1}, 4).tolist() == want
+
+
+def plain_main_text(pages, run=html.RUN, least=2, share=0.1):
+    """main_text with the substrings of a host counted one by one."""
+    by_host, out = {}, []
+    for i, url, page in pages:
+        by_host.setdefault((url or "").split("/")[2] if url else "", []).append((i, url, html.blocks(page)))
+    for rows_ in by_host.values():
+        contents = {str(b): [w for t, own in b if not own for w in t.split(" ")] for _, _, b in rows_ if any(not o for _, o in b)}
+        on = {}
+        for k, s in enumerate(contents.values()):
+            for j in range(len(s) - run + 1):
+                on.setdefault(tuple(s[j : j + run]), set()).add(k)
+        enough = max(least, -int(-len(contents) * share // 1))
+        for i, url, b in rows_:
+            s = contents.get(str(b), [])
+            flags = [False] * len(s)
+            for j in range(len(s) - run + 1):
+                if len(on[tuple(s[j : j + run])]) >= enough:
+                    flags[j : j + run] = [True] * run
+            keep, at = [], 0
+            for t, own in b:
+                n = 0 if own else t.count(" ") + 1
+                if own or not all(flags[at : at + n]):
+                    keep.append(t)
+                at += n
+            out.append((str(i), str(url), "\n".join(keep)))
+    return sorted(out)
+
+
+def test_html_equals_a_plain_version_in_any_groups(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    prose = lambda k: f"Bird{k} is one of the most common birds of the north, as region{k} has it."
+    pages = []
+    for host, n in (("a.example", 60), ("b.example", 9), ("c.example", 1)):
+        menu, foot, section = [text(1) for _ in range(6)], text(7), text(12)
+        for k in range(n):
+            body = "".join(f"<div>{m}</div>" for m in menu) + f"<p>{prose(k)}</p><p>{text(rng.randint(1, 40))}</p>"
+            body += (f"<p>{section}</p>" if k < 4 else "") + (f"<article><p>{section}</p></article>" if k % 7 == 0 else "") + f"<div>{foot}</div>"
+            pages.append((len(pages), f"https://{host}/{k}", body))
+            if k % 4 == 0:  # the same content again
+                pages.append((len(pages), f"https://{host}/copy{k}", body))
+    pages += [(900, None, "<p>no host here</p>"), (901, "https://a.example/x", None), (902, "https://a.example/y", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = plain_main_text(pages)
+    for tokens in (html.GROUP_TOKENS, 400):
+        assert rows(html.main_text(df, group_tokens=tokens), "page_id", "url", "text") == want
+    by = {i: t for i, _, t in want}
+    assert prose(0) in by["0"].split("\n") and prose(59) in str(by) and by["0"].count("\n") == 3
 
 
 def test_html_rows(spark):
