@@ -269,16 +269,56 @@ def test_edit_distance_and_chains():
                 new.append(min(row[j + 1] + 1, new[-1] + 1, row[j] + (x != y)))
             row = new
         assert passages.edit_distance(a, b) == row[-1]
-    for _ in range(200):
-        n = rng.randint(1, 9)
-        x, y = np.array(sorted(rng.sample(range(60), n))), np.array(rng.choices(range(60), k=n))
-        top = passages.chains(x, y)[0]
+    for _ in range(400):
+        n = rng.randint(1, 10)
+        both = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(n)}) if _ % 3 else [(k, k + 7) for k in sorted(rng.sample(range(90), n))]
+        x, y = (np.array(v) for v in zip(*both, strict=True))
+        memo = {}
 
-        def best(k, x=x, y=y):
-            return max([5.0, *(best(j) - passages.GAP * (x[k] + y[k] - x[j] - y[j]) + min(5, x[k] - x[j], y[k] - y[j]) for j in range(k) if x[j] < x[k] and y[j] < y[k] and best(j) > passages.GAP * (x[k] + y[k] - x[j] - y[j]))])
+        def best(k, x=x, y=y, memo=memo):  # over every predecessor
+            if k not in memo:
+                memo[k] = passages.K + max([0.0, *(best(j) - passages.GAP * (x[k] + y[k] - x[j] - y[j]) for j in range(len(x)) if x[j] < x[k] and y[j] < y[k])])
+            return memo[k]
 
-        ends = [k for k in range(n) if abs(best(k) - max(map(best, range(n)))) < 2.5]
-        assert any(top[1] == x[k] + 5 and top[3] == y[k] + 5 for k in ends)
+        got = passages.chains(x, y)
+        assert got[0][5] == pytest.approx(max(map(best, range(len(x))))) and sum(1 for c in got) <= len(x)
+        assert all(c[5] == pytest.approx(best(next(k for k in range(len(x)) if x[k] + 5 == c[1] and y[k] + 5 == c[3]))) for c in got)
+
+
+def test_passages_past_pieces_in_smaller_documents(spark):
+    """A passage of two documents whose pieces of 19 words, overlapping, stand in many smaller ones."""
+    rng = random.Random(13)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = text(200)
+    texts = {k: text(10) + shared[9 * k : 9 * k + 19] + text(10) for k in range(21)}
+    texts |= {100: shared + text(50), 101: shared + text(60)}
+    for parts in (1, 5):
+        got = passages.passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]).repartition(parts)).collect()
+        assert [(r.start_word, r.end_word, r.other_start, r.other_end) for r in got if (r.doc_id, r.other_id) == (101, 100)] == [(0, 200, 0, 200)]
+
+
+def test_passages_recall(spark):
+    """Planted fuzzy passages against an alignment of each planted pair in full: 0.9 or more of them, none that isn't there."""
+    rng = random.Random(14)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts, planted = {}, []
+    for k in range(240):
+        n, share = rng.choice([60, 80, 100, 150]), rng.choice([0.05, 0.1, 0.15, 0.18])
+        a, b = text(n), []
+        for w in a:
+            r = rng.random()
+            if r > share:
+                b.append(w)
+            elif r > share / 4:
+                b += text(1)
+            elif r > share / 8:
+                b += [w, *text(1)]
+        if 1 - passages.edit_distance(list(map(hash, a)), list(map(hash, b))) / max(len(a), len(b)) >= 0.8:
+            planted.append(2 * k + 1)
+        texts[2 * k], texts[2 * k + 1] = text(40) + a + text(70), text(90) + b + text(20)
+    got = {(r.doc_id, r.other_id) for r in passages.passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]).repartition(5)).collect()}
+    assert len(planted) > 150 and sum((i, i - 1) in got for i in planted) / len(planted) >= 0.9
+    assert all(i - j == 1 and i % 2 for i, j in got)
 
 
 # --- Neighbours ----------------------------------------------------------------------------------------------------------
