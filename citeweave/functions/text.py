@@ -100,19 +100,22 @@ def strip_particles(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(None)).when(F.size(w) > 0, F.array_join(F.slice(w, F.greatest(keep.cast("int"), F.lit(1)), F.greatest(F.size(w), F.lit(1))), " ")).otherwise("")
 
 
-def expand_numbers(c: Column) -> Column:
-    """The numbers of "1, 3-5": ranges run upwards, what isn't a number is passed over, MAX_RANGE numbers of a range at most."""
+#: Numbers of a span at most; a longer range is several spans, so no array grows with it.
+SPAN = 10_000
+
+
+def number_spans(c: Column) -> Column:
+    """The numbers of "1, 3-5" as spans (low, high) of SPAN numbers at most: ranges run upwards, what isn't a number is passed over."""
     parts = F.split(strip(c), r"(?U),\s*")
 
     def one(p: Column) -> Column:
         a = F.regexp_extract(p, r"(?U)^(\d+)\s*[–\-]\s*(\d+)", 1).try_cast("int")
         b = F.regexp_extract(p, r"(?U)^(\d+)\s*[–\-]\s*(\d+)", 2).try_cast("int")
         n = strip(p).try_cast("int")
-        none = F.array().cast("array<int>")
-        return F.when(a.isNotNull() & b.isNotNull(), F.when(b >= a, F.sequence(a, F.least(b, a + F.lit(MAX_RANGE - 1)))).otherwise(none)).otherwise(F.when(n.isNotNull(), F.array(n)).otherwise(none))
+        span = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+        none = F.array().cast("array<struct<low:int,high:int>>")
+        starts = F.sequence(a.cast("long"), b.cast("long"), F.lit(SPAN).cast("long"))
+        ranges = F.transform(starts, lambda x: span(x, F.least(x + F.lit(SPAN - 1), b.cast("long"))))
+        return F.when(a.isNotNull() & b.isNotNull(), F.when(b >= a, ranges).otherwise(none)).otherwise(F.when(n.isNotNull(), F.array(span(n, n))).otherwise(none))
 
     return F.flatten(F.transform(parts, one))
-
-
-#: A range of numbers longer than this is cut: no list of references is as long.
-MAX_RANGE = 10_000

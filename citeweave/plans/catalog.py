@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -180,12 +181,13 @@ def q_ref_entry(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(spark, sf, _ENTRIES, "orders").select("k", text.reference_entry(F.col("t")).alias("r")).select("k", "r.year", F.array_join("r.authors", "|").alias("authors"))
 
 
-_NUMBERS = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN concat(cast(o_orderkey % 9 AS string), ', ', cast(o_orderkey % 7 + 3 AS string)) WHEN 1 THEN concat(cast(o_orderkey % 9 AS string), '-', cast(o_orderkey % 9 + 3 AS string)) WHEN 2 THEN '5-3' ELSE concat('1, ', cast(o_orderkey % 9 + 2 AS string), '–', cast(o_orderkey % 9 + 4 AS string), ', 40') END AS t FROM {orders}"
+_NUMBERS = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN concat(cast(o_orderkey % 9 AS string), ', ', cast(o_orderkey % 7 + 3 AS string)) WHEN 1 THEN concat(cast(o_orderkey % 9 AS string), '-', cast(o_orderkey % 9 + 3 AS string)) WHEN 2 THEN CASE WHEN o_orderkey % 800 = 2 THEN '1-10500' ELSE '5-3' END ELSE concat('1, ', cast(o_orderkey % 9 + 2 AS string), '–', cast(o_orderkey % 9 + 4 AS string), ', 40') END AS t FROM {orders}"
 
 
 @query(f"WITH t AS ({_plain(_NUMBERS)}), p AS (SELECT k, unnest(string_split_regex(t, ',\\s*')) AS p FROM t), r AS (SELECT k, CASE WHEN regexp_matches(p, '[–-]') THEN range(regexp_extract(p, '^(\\d+)', 1)::INT, regexp_extract(p, '(\\d+)$', 1)::INT + 1) ELSE [p::BIGINT] END AS ns FROM p) SELECT k, unnest(ns)::INT AS n FROM r")
 def q_numbered_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return _sql(spark, sf, _NUMBERS, "orders").select("k", F.explode(text.expand_numbers(F.col("t"))).alias("n"))
+    spans = _sql(spark, sf, _NUMBERS, "orders").select("k", F.explode(text.number_spans(F.col("t"))).alias("s"))
+    return spans.select("k", F.explode(F.sequence("s.low", "s.high")).alias("n"))
 
 
 # --- References -------------------------------------------------------------------------------------------------------
@@ -268,6 +270,58 @@ def q_uncited(spark: SparkSession, sf: str) -> DataFrame:
     return references.uncited(c, numbers, names)
 
 
+# The forms of a citation, one paragraph each, and the citations in it: authors, year, others, prefix, suffix, locator,
+# kind and the text before it. S and T stand for surnames, Y for a year.
+_FORMS = [
+    ("As S (Y) has it.", [("S", "Y", False, "", "", "", "page", "As ")]),
+    ("S and T (Y, p. 12) agree.", [("S|T", "Y", False, "", "", "12", "page", "")]),
+    ("Seen again (S et al., Y).", [("S", "Y", True, "", "", "", "page", "Seen again ")]),
+    ("Held (see S Y, ch. 3; cf. T Y, pp. 4-9, with care).", [("S", "Y", False, "see ", "", "3", "chapter", "Held "), ("T", "Y", False, "cf. ", ", with care", "4-9", "page", "Held ")]),
+    ("Often (S m.fl. Y; Ya).", [("S", "Y", True, "", "", "", "page", "Often "), ("S", "Ya", True, "", "", "", "page", "Often ")]),
+    ("S argues that it holds (Y, 20; T Y).", [("S", "Y", False, "", "", "20", "page", "S argues that it holds "), ("T", "Y", False, "", "", "", "page", "S argues that it holds ")]),
+    ("Edited (S, Ed., Y).", [("S", "Y", False, "", "", "", "page", "Edited ")]),
+    ("Known (e.g., S & T Y, sec. 7).", [("S|T", "Y", False, "e.g., ", "", "7", "section", "Known ")]),
+    ("An office (Office S (OS) Y) said.", [("Office S OS", "Y", False, "", "", "", "page", "An office ")]),
+    ("The S Agency (Y) says.", [("S Agency", "Y", False, "", "", "", "page", "The ")]),
+    ("Soon (van der S, in press) and (T, n.d.).", [("van der S", "in press", False, "", "", "", "page", "Soon "), ("T", "n.d.", False, "", "", "", "page", "Soon (van der S, in press) and ")]),
+    ("In 1990. T wrote “it holds” (Y; S Y).", [("T", "Y", False, "", "", "", "page", "In 1990. T wrote “it holds” "), ("S", "Y", False, "", "", "", "page", "In 1990. T wrote “it holds” ")]),
+    ("By J. S (Y) and M T (Y: 88).", [("S", "Y", False, "", "", "", "page", "By J. "), ("T", "Y", False, "", "", "88", "page", "By J. S (Y) and ")]),
+    ("It is S's (Y:10–11) view.", [("S", "Y", False, "", "", "10–11", "page", "It is ")]),
+    ("All (S, J. T, & van S Y) of them.", [("S|T|van S", "Y", False, "", "", "", "page", "All ")]),
+    ("a bare (Y), (see Y), (the S) and S, Y.", []),
+]
+
+
+def _formed(text_: str) -> str:
+    """SQL for a text with S, T and Y replaced."""
+    parts = re.split(r"\b([ST])\b(?!')|\b([S])(?='s)|(Y)", text_)
+    names = {"S": surname("o_orderkey"), "T": surname("o_orderkey + 5"), "Y": "cast(1950 + o_orderkey % 70 AS string)"}
+    quoted = [names.get(x) or "'" + x.replace("'", "''") + "'" for x in parts if x]
+    return f"concat({', '.join(quoted)})" if quoted else "''"
+
+
+_FORM_TEXTS = f"SELECT o_orderkey AS doc_id, 0 AS para_idx, CASE o_orderkey % {len(_FORMS)} {' '.join(f'WHEN {k} THEN {_formed(t)}' for k, (t, _) in enumerate(_FORMS))} END AS para_text FROM {{orders}}"
+
+
+def _form_rows() -> str:
+    rows = []
+    for k, (_, cites) in enumerate(_FORMS):
+        for names, year, others, prefix, suffix, where, kind, before in cites:
+            each = names.split("|")
+            shown = f"({each[0]} et al., {year})" if others or len(each) > 2 else f"({' & '.join(each)}, {year})"
+            columns = {"authors": names.replace("|", " | "), "year": year, "display_text": shown, "prefix": prefix, "suffix": suffix, "locator": where, "locator_label": kind}
+            values = ", ".join(f"{_formed(v)} AS {c}" for c, v in columns.items())
+            rows.append(f"SELECT o_orderkey AS doc_id, {values}, {str(others).lower()} AS has_et_al, length({_formed(before)})::INT AS char_start FROM orders WHERE o_orderkey % {len(_FORMS)} = {k}")
+    return " UNION ALL ".join(rows)
+
+
+@query(_form_rows())
+def q_tokenise_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every form of a citation by author and year: narrative ones, masks, others, prefixes, locators, leading and bare years, quotations, speakers."""
+    rows = tokenise.citations(_sql(spark, sf, _FORM_TEXTS, "orders"))
+    return rows.select("doc_id", F.array_join("authors", " | ").alias("authors"), "year", "display_text", "prefix", "suffix", "locator", "locator_label", "has_et_al", "char_start")
+
+
 _PARENS = "'\\((?:[^()]*\\([^()]*\\))*[^()]*\\)'"
 
 

@@ -41,8 +41,10 @@ def test_scalars(spark):
     assert one(spark, "Le Velly", text.strip_particles) == "Velly"
     assert one(spark, "van", text.strip_particles) == "van"
     assert one(spark, None, text.strip_particles) is None
-    assert one(spark, "3, 5-3, 7–9, x", text.expand_numbers) == [3, 7, 8, 9]
-    assert len(one(spark, "1-999999999", text.expand_numbers)) == text.MAX_RANGE
+    assert [tuple(s) for s in one(spark, "3, 5-3, 7–9, x", text.number_spans)] == [(3, 3), (7, 9)]
+    spans = one(spark, "1-999999999", text.number_spans)
+    assert spans[0].low == 1 and spans[-1].high == 999_999_999 and sum(s.high - s.low + 1 for s in spans) == 999_999_999
+    assert all(b.low == a.high + 1 for a, b in zip(spans, spans[1:], strict=False)) and max(s.high - s.low for s in spans) < text.SPAN
     assert one(spark, ", sec. 2", text.locator)["label"] == "section"
 
 
