@@ -8,6 +8,8 @@ threshold out.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +78,29 @@ def could_reach(a: Column, b: Column, ratio: Column | float) -> Column:
     return 200.0 * short >= ratio * total
 
 
+def signatures(texts: pd.Series, levels: int) -> pd.Series:
+    """Of each text: for each level the letters (as bits, by code point modulo 63) that it has so many times, then how many letters are left out."""
+
+    def one(x: str | None) -> list[int] | None:
+        if x is None:
+            return None
+        counts = Counter(ord(c) % 63 for c in x)
+        masks = [sum(1 << b for b, n in counts.items() if n > level) for level in range(levels)]
+        return [*masks, len(x) - sum(m.bit_count() for m in masks)]
+
+    return texts.map(one)
+
+
+def signature(c: Column, levels: int) -> Column:
+    return pandas_udf(lambda s: signatures(s, levels), "array<bigint>")(c)
+
+
+def could_share(a: Column, b: Column, sig_a: Column, sig_b: Column, levels: int, ratio: Column | float) -> Column:
+    """Whether the letters that two texts have in common, whatever their order, let the ratio (0 to 100) be reached; a few bit operations."""
+    common = sum((F.bit_count(sig_a[k].bitwiseAND(sig_b[k])) for k in range(levels)), F.least(sig_a[levels], sig_b[levels]))
+    return 200.0 * common >= ratio * (F.length(a) + F.length(b)) - 1e-6
+
+
 def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(words(c)), " ")
 

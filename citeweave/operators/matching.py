@@ -4,8 +4,9 @@ Citations: cit_id, authors array<string>, year, has_et_al, ref_text, and doc_id
 Library: lib_ord (its order, which settles ties), item_key, authors, editors array<string>, title, year.
 
 The ratio is computed once for each distinct pair of names that begin alike, however many citations and items hold them,
-and only where their lengths let the threshold be reached; the cascade keeps these pairs for all its steps. Citations and
-items then meet by equi-joins alone (name, then name and year), never in a product.
+and only where their lengths, and then their letters whatever the order, let the threshold be reached; the cascade keeps
+these pairs for all its steps. Citations that say the same (authors, year, others) are one profile until their result is
+handed out. Profiles and items meet by equi-joins alone (name, then name and year), never in a product.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.functions.similarity import could_reach, indel_ratio, sorted_tokens, title_form, token_sort_ratio
+from citeweave.functions.similarity import could_reach, could_share, indel_ratio, signature, sorted_tokens, title_form, token_sort_ratio
 from citeweave.functions.text import strip_particles
 from citeweave.sources.storage import stored
 
@@ -59,36 +60,59 @@ def least_first(score: float) -> float:
     return max(0.0, (score / 100 - 0.3) / 0.7 * 100)
 
 
-def name_scores(citations: DataFrame, library: DataFrame, least: float) -> DataFrame:
-    """(a, b, s1): the share of each distinct pair of name forms that begin alike, of `least` hundredths or more."""
-    a = citations.where(F.size("authors") > 0).select(F.explode(name_forms(F.get("authors", 0), True)).alias("a")).distinct()
-    b = item_names(library).select(F.explode(name_forms(F.get("names", 0), False)).alias("b")).distinct()
-    first = lambda df, c: df.withColumn("first", F.substring(c, 1, 1))
-    pairs = first(a, "a").join(first(b, "b"), "first").where(could_reach(F.col("a"), F.col("b"), least)).select("a", "b")
-    return pairs.withColumn("s1", indel_ratio(F.col("a"), F.col("b")) / 100).where(F.col("s1") >= least / 100 - 1e-9)
+#: Times that a letter counts in the comparison of the letters of two names, of two titles.
+NAME_LEVELS, TITLE_LEVELS = 2, 6
+
+
+def name_scores(citations: DataFrame, library: DataFrame, least: float, alone: float | None = None) -> DataFrame:
+    """(a, b, s1): the share of each distinct pair of name forms that begin alike, of `least` hundredths or more (of `alone` where one of them never has a second author beside it)."""
+    alone = least if alone is None else alone
+    several = lambda names: F.max(F.size(names) > 1).alias("several")
+    a = citations.where(F.size("authors") > 0).select("authors", F.explode(name_forms(F.get("authors", 0), True)).alias("a")).groupBy("a").agg(several("authors"))
+    b = item_names(library).select("names", F.explode(name_forms(F.get("names", 0), False)).alias("b")).groupBy("b").agg(several("names"))
+    first = lambda df, c: df.select(c, F.substring(c, 1, 1).alias("first"), F.col("several").alias(f"several_{c}"), signature(F.col(c), NAME_LEVELS).alias(f"sig_{c}"))
+    limit = F.when(F.col("several_a") & F.col("several_b"), float(least)).otherwise(float(alone))
+    pairs = first(a, "a").join(first(b, "b"), "first").where(could_reach(F.col("a"), F.col("b"), limit))
+    pairs = pairs.where(could_share(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"), NAME_LEVELS, limit))
+    return pairs.select("a", "b", limit.alias("limit"), (indel_ratio(F.col("a"), F.col("b")) / 100).alias("s1")).where(F.col("s1") >= F.col("limit") / 100 - 1e-9).drop("limit")
+
+
+def profiled(citations: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """(each citation's profile, the distinct profiles, named cit_id as citations are): what citations say in these columns."""
+    key = F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+    rows = citations.select("cit_id", key.alias("profile"), *columns)
+    return rows.select("cit_id", "profile"), rows.drop("cit_id").withColumnRenamed("profile", "cit_id").dropDuplicates(["cit_id"])
+
+
+def handed_out(profiles: DataFrame, results: DataFrame) -> DataFrame:
+    return profiles.join(results.withColumnRenamed("cit_id", "profile"), "profile").drop("profile")
 
 
 def scored(citations: DataFrame, library: DataFrame, author: int, names: DataFrame | None = None) -> DataFrame:
     """(cit_id, lib_ord, item_key, score): the best score of each citation and item of its year, of `author` hundredths or more."""
     items = item_names(library)
-    cites = citations.where(F.size("authors") > 0).select("cit_id", "has_et_al", "authors", year_key(F.col("year")).alias("pool"))
-    undated = items.where("pool = ''").limit(1).count()
-    pools = items.withColumn("own", F.lit(1.0))
-    if not undated:  # years that aren't numbers then look at all items
-        pools = pools.unionByName(pools.withColumn("pool", F.lit("")))
+    own_of, cites = profiled(citations.where(F.size("authors") > 0), F.col("has_et_al"), F.slice("authors", 1, 2).alias("authors"), year_key(F.col("year")).alias("pool"))
+    # Years that aren't numbers look at all items, unless there are undated ones: these are their pool then.
+    dated = items.join(items.where("pool = ''").select(F.lit(True).alias("_undated")).limit(1), how="left").where("_undated is null").drop("_undated")
+    pools = items.unionByName(dated.withColumn("pool", F.lit(""))).withColumn("own", F.lit(1.0))
     if author <= 50:  # half of a score can pass then, so citations of a year that no item has look at all items
         own = items.select("pool", F.lit(True).alias("_has")).distinct()
         cites = cites.join(own, "pool", "left").withColumn("pool", F.when(F.col("_has").isNull() & (F.col("pool") != ""), "*").otherwise(F.col("pool"))).drop("_has")
         pools = pools.unionByName(items.withColumn("own", F.lit(0.5)).withColumn("pool", F.lit("*")))
-    names = name_scores(citations, library, least_first(author)) if names is None else names
+    names = name_scores(citations, library, least_first(author), float(author)) if names is None else names
     left = cites.select("*", F.explode(name_forms(F.get("authors", 0), True)).alias("a"), F.lower(strip_particles(F.get("authors", 1))).alias("a2"), F.size("authors").alias("n"))
     right = pools.select("lib_ord", "item_key", "pool", "own", F.size("names").alias("m"), F.explode(name_forms(F.get("names", 0), False)).alias("b"), F.lower(strip_particles(F.get("names", 1))).alias("b2"))
     near = names.where(F.col("s1") >= least_first(author) / 100 - 1e-9)
-    pairs = left.drop("authors").join(near, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3").withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
-    score = F.when((F.col("n") > 1) & (F.col("m") > 1), F.col("s1") * 0.7 + F.col("s2") * 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1"))
+    pairs = left.drop("authors").join(near, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3")
+    # What no second author could lift to the threshold goes before second authors are compared.
+    both = (F.col("n") > 1) & (F.col("m") > 1)
+    most = F.when(both, F.col("s1") * 0.7 + 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1")) * F.col("own")
+    pairs = pairs.where(most >= author / 100 - 1e-9).withColumn("s2", F.when(both, indel_ratio(F.col("a2"), F.col("b2")) / 100))
+    score = F.when(both, F.col("s1") * 0.7 + F.col("s2") * 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1"))
     best = pairs.select("cit_id", "lib_ord", "item_key", (score * F.col("own")).alias("score")).groupBy("cit_id", "lib_ord", "item_key").agg(F.max("score").alias("score"))
     once = Window.partitionBy("cit_id", "item_key").orderBy("lib_ord")
-    return best.where(F.col("score") >= author / 100).withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    best = best.where(F.col("score") >= author / 100).withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    return handed_out(own_of, best).select("cit_id", "lib_ord", "item_key", "score")
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -116,11 +140,11 @@ def year_tolerance(citations: DataFrame, library: DataFrame, t: Thresholds = Thr
 
 def low_candidates(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds(), k: int = 5, names: DataFrame | None = None) -> DataFrame:
     """(cit_id, lib_ord, item_key, score, rank): up to k items of the year or one beside it between the two thresholds."""
-    cites = citations.where(F.size("authors") > 0).withColumn("base", year_key(F.col("year")))
+    own_of, cites = profiled(citations.where(F.size("authors") > 0), F.col("has_et_al"), F.slice("authors", 1, 2).alias("authors"), year_key(F.col("year")).alias("base"))
     near = F.when(F.col("base") == "", F.array(F.struct(F.lit("").alias("pool"), F.lit(1.0).alias("own"), F.lit(0).alias("ord")))).otherwise(
         F.array(*[F.struct((F.when(F.lit(s == 0), F.col("base")).otherwise((F.col("base").try_cast("int") + s).cast("string"))).alias("pool"), F.lit(1.0 if s == 0 else 0.9).alias("own"), F.lit(k_).alias("ord")) for k_, s in enumerate((0, -1, 1))])
     )
-    names = name_scores(citations, library, least_first(t.candidate)) if names is None else names
+    names = name_scores(citations, library, least_first(t.candidate), float(t.candidate)) if names is None else names
     left = cites.select("cit_id", "has_et_al", F.size("authors").alias("n"), F.explode(near).alias("y"), name_forms(F.get("authors", 0), False).alias("forms"), F.lower(strip_particles(F.get("authors", 1))).alias("a2"))
     left = left.select("cit_id", "has_et_al", "n", "y.*", F.explode("forms").alias("a"), "a2")
     items = item_names(library)
@@ -137,7 +161,8 @@ def low_candidates(citations: DataFrame, library: DataFrame, t: Thresholds = Thr
     once = Window.partitionBy("cit_id", "item_key").orderBy("ord", "lib_ord")
     inside = inside.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     order = Window.partitionBy("cit_id").orderBy(F.desc("score"), "ord", "lib_ord")
-    return inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("cit_id", "lib_ord", "item_key", "score", "rank")
+    top = inside.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return handed_out(own_of, top).select("cit_id", "lib_ord", "item_key", "score", "rank")
 
 
 def rerank(candidates: DataFrame, citations: DataFrame, library: DataFrame) -> DataFrame:
@@ -166,34 +191,56 @@ def year_agnostic(citations: DataFrame, library: DataFrame, t: Thresholds = Thre
     cites = citations.where(F.size("authors") > 0).select("cit_id", F.lower(strip_particles(F.get("authors", 0))).alias("a")).withColumn("first", F.substring("a", 1, 1))
     items = item_names(library).select("lib_ord", "item_key", F.lower(strip_particles(F.get("names", 0))).alias("b")).withColumn("first", F.substring("b", 1, 1))
     names = items.groupBy("first", "b").agg(F.min(F.struct("lib_ord", "item_key")).alias("i"))  # of one name only the first item can win
-    pairs = cites.select("a", "first").distinct().join(names, "first").where(could_reach(F.col("a"), F.col("b"), float(t.last_resort)))
+    left = cites.select("a", "first").distinct().withColumn("sig_a", signature(F.col("a"), NAME_LEVELS))
+    pairs = left.join(names.withColumn("sig_b", signature(F.col("b"), NAME_LEVELS)), "first").where(could_reach(F.col("a"), F.col("b"), float(t.last_resort)))
+    pairs = pairs.where(could_share(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"), NAME_LEVELS, float(t.last_resort)))
     best = pairs.withColumn("s", indel_ratio(F.col("a"), F.col("b")) / 100).groupBy("a").agg(F.max_by("i", F.struct("s", -F.col("i.lib_ord"))).alias("i"), F.max("s").alias("s"))
     return cites.join(best.where(F.col("s") >= t.last_resort / 100), "a").select("cit_id", "i.lib_ord", "i.item_key", (F.col("s") * 0.5).alias("score"))
 
 
 def title_match(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(cit_id, lib_ord, item_key, score, matched): the item whose title is nearest to raw_text, of those whose length lets it match.
+    """(cit_id, lib_ord, item_key, score, matched): the item whose title is nearest to raw_text; of texts that reach no title, the score alone.
 
-    Distinct texts meet distinct titles by an equi-join on the lengths that can reach the threshold (with the bonus for an
-    equal year), and each pair is scored once; a score below it is reported as far as it was found, else it is 0.
+    Distinct texts meet distinct titles once. First by an equi-join on the lengths that can reach the threshold (with the
+    bonus for an equal year), where their letters let them: a text that reaches it has its best title there. For the texts
+    that are left only the best score counts: they are asked of all titles, in blocks, and of those pairs only the ones are
+    scored whose letters could beat what the text has already.
     """
-    asked = citations.where(~F.col("raw_text").startswith("[") & (F.col("raw_text") != "")).select("cit_id", "year", sorted_tokens(title_form(F.col("raw_text"))).alias("a"))
+    asked = citations.where(~F.col("raw_text").startswith("[") & (F.col("raw_text") != "")).select("cit_id", F.substring(F.coalesce("year", F.lit("")), 1, 4).alias("year"), sorted_tokens(title_form(F.col("raw_text"))).alias("a"))
     titles = library.where("title <> ''").select("lib_ord", "item_key", F.substring("year", 1, 4).alias("y"), sorted_tokens(title_form(F.col("title"))).alias("b"))
+    signed = lambda df, c: df.withColumn(f"sig_{c}", signature(F.col(c), TITLE_LEVELS))
+    shares = lambda least: could_share(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"), TITLE_LEVELS, least)
     least = t.title / 1.15
     low, high = F.floor(F.length("a") * least / (200 - least)), F.ceil(F.length("a") * (200 - least) / least)
-    left = asked.select("a").distinct().select("a", F.explode(F.sequence(low, high)).alias("size"))
-    right = titles.select("b").distinct().withColumn("size", F.length("b").cast("long"))
-    pairs = left.join(right, "size").where(could_reach(F.col("a"), F.col("b"), F.lit(float(t.title)) / 1.15)).select("a", "b", (indel_ratio(F.col("a"), F.col("b")) / 100).alias("s"))
-    met = asked.join(pairs, "a").join(titles, "b")
-    score = F.when((F.col("year") != "") & (F.col("y") == F.substring("year", 1, 4)), F.least(F.lit(1.0), F.col("s") * 1.15)).otherwise(F.col("s"))
-    best = met.withColumn("score", score).groupBy("cit_id").agg(F.max_by(F.struct("lib_ord", "item_key"), F.struct("score", -F.col("lib_ord"))).alias("i"), F.max("score").alias("score"))
-    out = asked.select("cit_id").join(best, "cit_id", "left")
+    texts, forms = signed(asked.select("a").distinct(), "a"), stored(signed(titles.select("b").distinct(), "b"), "titles")
+    left = texts.select("a", "sig_a", F.explode(F.sequence(low, high)).alias("size"))
+    right = forms.withColumn("size", F.length("b").cast("long"))
+    close = left.join(right, "size").where(could_reach(F.col("a"), F.col("b"), F.lit(least)) & shares(F.lit(least)))
+    bonus = F.when((F.col("year") != "") & (F.col("y") == F.col("year")), F.least(F.lit(1.0), F.col("s") * 1.15)).otherwise(F.col("s"))
+
+    def best(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        met = of.select("a", "year").distinct().join(pairs.select("a", "b", (indel_ratio(F.col("a"), F.col("b")) / 100).alias("s")), "a").join(titles, "b").withColumn("score", bonus)
+        return met.groupBy("a", "year").agg(F.max_by(F.struct("lib_ord", "item_key"), F.struct("score", -F.col("lib_ord"))).alias("i"), F.max("score").alias("score"))
+
+    found = stored(best(close, asked), "near-titles")
+    done = found.where(F.col("score") >= t.title / 100)
+    rest = asked.select("a", "year").distinct().join(done, ["a", "year"], "left_anti")
+    sofar = signed(rest.join(found.select("a", "year", "score"), ["a", "year"], "left").groupBy("a").agg(F.coalesce(F.min(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("sofar")), "a")
+    blocks = 16
+    every = sofar.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    other = every.join(forms.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int")), "block").where(shares(F.col("sofar") * 100 / 1.15))
+    far = best(other, rest).select("a", "year", "score")
+    known = done.select("a", "year", "i", "score").unionByName(far.withColumn("i", F.lit(None).cast(done.schema["i"].dataType)))
+    out = asked.join(known, ["a", "year"], "left")
     return out.select("cit_id", "i.lib_ord", "i.item_key", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") >= t.title / 100, F.lit(False)).alias("matched"))
 
 
 def numbered(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(cit_id, lib_ord, item_key, score): matches of numbered citations by the authors and year of their reference, where it has them."""
-    return best_match(scored(citations.where("year <> ''"), library, t.author))
+    """(cit_id, lib_ord, item_key, score): matches of numbered citations by the authors and year of their reference, else by its title; no item and the best score where no title is near enough."""
+    by_name = best_match(scored(citations.where((F.col("year") != "") & (F.size("authors") > 0)), library, t.author)).select("cit_id", "lib_ord", "item_key", "score")
+    by_name = stored(by_name, "by-name")
+    by_title = title_match(citations.join(by_name.select("cit_id"), "cit_id", "left_anti"), library, t)
+    return by_name.unionByName(by_title.select(*by_name.columns))
 
 
 def cascade(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds(), references: DataFrame | None = None) -> DataFrame:
@@ -204,7 +251,7 @@ def cascade(citations: DataFrame, library: DataFrame, t: Thresholds = Thresholds
     """
     group = lambda df: df.groupBy("cit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_key", "score"))), lambda x: F.struct(x["item_key"].alias("item_key"), x["score"].alias("score"))).alias("candidates"))
     order = (lambda df, cites: rerank(df, cites, library)) if "ref_text" in citations.columns else (lambda df, cites: df)
-    names = stored(name_scores(citations, library, min(least_first(t.candidate), t.last_resort)), "names")
+    names = stored(name_scores(citations, library, min(least_first(t.candidate), least_first(t.author)), float(min(t.candidate, t.author))), "names")
     hits = order(ranked(scored(citations, library, t.author, names)), citations)
     found = stored(group(hits).select("cit_id", F.when(F.size("candidates") > 1, "ambiguous").otherwise("matched").alias("outcome"), "candidates"), "found")
     rest = citations.join(found.select("cit_id"), "cit_id", "left_anti")

@@ -377,17 +377,32 @@ def q_bib_hint(spark: SparkSession, sf: str) -> DataFrame:
     return matching.bibliography_hint(_citations(spark, sf), references.author_year_references(_sections(spark, sf)))
 
 
-_TITLES = "SELECT o_orderkey AS cit_id, concat(p_type, ' ', p_name, CASE WHEN o_orderkey % 2 = 0 THEN ', again' ELSE '' END) AS raw_text, cast(1995 + o_orderkey % 9 AS string) AS year FROM {orders} JOIN {part} ON p_partkey = o_orderkey"
-_ASKED = f"f AS (SELECT cit_id, year, {_SORTED.format('raw_text')} AS a FROM t), h AS (SELECT lib_ord, item_key, item_year, {_SORTED.format('title')} AS b FROM library), d AS (SELECT a, b FROM (SELECT DISTINCT a FROM f), (SELECT DISTINCT b FROM h) WHERE 200.0 * least(length(a), length(b)) * 1.15::DOUBLE >= 68 * (length(a) + length(b))), r AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS s FROM d)"
+#: Every order asks for the title of a part, with its words in another order; one part in 40 for a text that is near to no title.
+_TITLES = "SELECT o_orderkey AS cit_id, CASE WHEN p_partkey % 40 = 7 THEN concat('zz ', substr(p_name, 1, 4), ' qx ', p_brand) ELSE concat(p_type, ' ', p_name, CASE WHEN p_partkey % 2 = 0 THEN ', again' ELSE '' END) END AS raw_text, cast(1995 + o_orderkey % 9 AS string) AS year FROM {orders} JOIN {part} ON p_partkey = o_orderkey % (SELECT count(*) FROM {part})"
+_ASKED = f"f AS (SELECT cit_id, year, {_SORTED.format('raw_text')} AS a FROM t), h AS (SELECT lib_ord, item_key, item_year, {_SORTED.format('title')} AS b FROM library), d AS (SELECT a, b FROM (SELECT DISTINCT a FROM f), (SELECT DISTINCT b FROM h) WHERE a LIKE '%qx%' OR 200.0 * least(length(a), length(b)) * 1.15::DOUBLE >= 68 * (length(a) + length(b))), r AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS s FROM d)"
+_BY_TITLE = f"WITH {duck('library')}, t AS ({_plain(_TITLES)}), {_ASKED}, fy AS (SELECT DISTINCT a, year FROM f), g AS (SELECT a, year, lib_ord, item_key, CASE WHEN year = item_year THEN least(1.0::DOUBLE, s * 1.15::DOUBLE) ELSE s END AS score FROM fy JOIN r USING (a) JOIN h USING (b)), k AS (SELECT a, year, arg_max(lib_ord, (score, -lib_ord)) AS lib_ord, arg_max(item_key, (score, -lib_ord)) AS item_key, max(score) AS score FROM g GROUP BY a, year), tm AS (SELECT cit_id, CASE WHEN score >= 0.68::DOUBLE THEN lib_ord END AS lib_ord, CASE WHEN score >= 0.68::DOUBLE THEN item_key END AS item_key, coalesce(score, 0) AS score, coalesce(score >= 0.68::DOUBLE, false) AS matched FROM f LEFT JOIN k USING (a, year))"
 
 
-@query(f"WITH {duck('library')}, t AS ({_plain(_TITLES)}), {_ASKED}, g AS (SELECT cit_id, lib_ord, item_key, CASE WHEN year = item_year THEN least(1.0::DOUBLE, s * 1.15::DOUBLE) ELSE s END AS score FROM f JOIN r USING (a) JOIN h USING (b)) SELECT cit_id, lib_ord, item_key, round(coalesce(score, 0), 6) AS score, coalesce(score >= 0.68::DOUBLE, false) AS matched FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cit_id ORDER BY score DESC, lib_ord) AS n FROM g) k ON k.cit_id = t.cit_id AND n = 1".replace("SELECT cit_id, lib_ord, item_key, round(coalesce", "SELECT t.cit_id, lib_ord, item_key, round(coalesce"))
+@query(f"{_BY_TITLE} SELECT cit_id, lib_ord, item_key, round(score, 6) AS score, matched FROM tm")
 def q_title_fallback(spark: SparkSession, sf: str) -> DataFrame:
     out = matching.title_match(_sql(spark, sf, _TITLES, "orders", "part"), _library(spark, sf))
     return out.select("cit_id", "lib_ord", "item_key", _r6("score"), "matched")
 
 
-_RERANK = f"""tx AS (SELECT cit_id, (SELECT {_SORTED.format("concat('Name, A. ', title, '.')")} FROM library l WHERE l.lib_ord = cit_id % 1000) AS ref FROM citations WHERE cit_id % 2 = 0),
+_NUMBERED = f"SELECT c.cit_id, c.cit_year AS year, t.raw_text FROM citations c JOIN ({_plain(_TITLES)}) t ON t.cit_id = c.cit_id"
+_BY_TITLE_TOO = _BY_TITLE.replace(f"WITH {duck('library')}, t AS ({_plain(_TITLES)})", f"t AS ({_NUMBERED})")
+
+
+@query(f"WITH {_PAIRS}, {_BY_TITLE_TOO}, e AS (SELECT cit_id, lib_ord, item_key, score FROM exact WHERE rank = 1 AND cit_id % 3 <> 0) SELECT cit_id, lib_ord, item_key, round(score, 6) AS score FROM (SELECT * FROM e UNION ALL SELECT cit_id, lib_ord, item_key, score FROM tm WHERE cit_id NOT IN (SELECT cit_id FROM e))")
+def q_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered citations end to end: by the authors and year of their reference, which every third one lacks, else by its title."""
+    none = F.array().cast("array<string>")
+    cites = _citations(spark, sf).withColumn("authors", F.when(F.col("cit_id") % 3 != 0, F.col("authors")).otherwise(none))
+    cites = cites.join(_sql(spark, sf, _TITLES, "orders", "part").select("cit_id", "raw_text"), "cit_id")
+    return matching.numbered(cites, _library(spark, sf)).select("cit_id", "lib_ord", "item_key", _r6("score"))
+
+
+_RERANK = f"""tx AS (SELECT cit_id, (SELECT {_SORTED.format("concat('Name, A. ', title, '.')")} FROM library l WHERE l.lib_ord = cit_id % (SELECT count(*) FROM library)) AS ref FROM citations),
 ti AS (SELECT x.*, {_SORTED.format('title')} AS b, ref AS a FROM (SELECT e.*, title FROM exact e JOIN library USING (lib_ord)) x JOIN tx USING (cit_id)),
 td AS (SELECT DISTINCT a, b FROM ti), tr AS (SELECT a, b, {_ratio('a', 'b')} / 100 AS t FROM td),
 tw AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS nx FROM ti JOIN tr USING (a, b) WINDOW w AS (PARTITION BY cit_id ORDER BY t DESC, rank)),
@@ -398,7 +413,8 @@ mv AS (SELECT cit_id, rank AS up FROM tw WHERE n = 1 AND rank > 1 AND t > 0.3 AN
 def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
     cites, lib = _citations(spark, sf), _library(spark, sf)
     titles = lib.select((F.col("lib_ord")).alias("t"), F.concat(F.lit("Name, A. "), F.col("title"), F.lit(".")).alias("ref"))
-    texts = cites.withColumn("t", F.col("cit_id") % 1000).join(titles, "t", "left").withColumn("ref_text", F.when(F.col("cit_id") % 2 == 0, F.col("ref")))
+    total = lib.agg(F.count(F.lit(1)).alias("total"))
+    texts = cites.join(F.broadcast(total)).withColumn("t", F.col("cit_id") % F.col("total")).join(titles, "t", "left").withColumnRenamed("ref", "ref_text")
     return matching.rerank(matching.ranked(matching.scored(cites, lib, 82)), texts, lib).select("cit_id", "item_key", F.col("rank").cast("int").alias("rank"))
 
 
