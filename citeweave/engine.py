@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.operators import library as lib
 from citeweave.operators import matching, references, review
-from citeweave.sources import office, sqlite
+from citeweave.sources import office, settings, sqlite
 from citeweave.sources.storage import stored
 from citeweave.streaming.documents import document_citations
 
@@ -28,6 +29,22 @@ class Analysis:
     def counts(self) -> DataFrame:
         return review.status_counts(self.results)
 
+    def status(self) -> dict:
+        """What a caller that asks for the state of an analysis gets: that it is done, and its counts."""
+        return {"status": "done", "counts": self.counts().first().asDict()}
+
+
+def state(settings_file: Path) -> dict:
+    """The paths and the collection that were used last."""
+    saved = settings.load(settings_file)
+    return {k: saved.get(k) for k in ("docx_path", "db_path", "collection_id")}
+
+
+def collections(spark: SparkSession, path: str) -> DataFrame:
+    """The collections of a library with their paths and numbers of items."""
+    r = sqlite.relations(spark, path)
+    return lib.collection_list(r["collections"], r["members"], r["deleted"])
+
 
 def load_library(spark: SparkSession, path: str, collection: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The items of a SQLite library (those of a collection and all under it), the latest first, and their JSON records."""
@@ -36,9 +53,10 @@ def load_library(spark: SparkSession, path: str, collection: int | None = None)
     items = lib.items(r["works"], r["fields"], r["people"], r["deleted"], within)
     user = sqlite.user_id(spark, path)
     items = items.withColumn("uri", lib.item_uri(F.lit(user), F.col("item_key")))
-    # The order of the library: the date, then the item; a number that grows with both, without a sort of the whole.
-    order = F.concat(F.date_format(F.to_timestamp("date_added"), "yyyyMMddHHmmss"), F.lit("")).try_cast("long")
-    items = items.withColumn("lib_ord", -(F.coalesce(order, F.lit(0)) * 100_000) + F.pmod("item_id", F.lit(100_000)))
+    # The order of the library: the latest date first, then the item; one number of both, without a sort of the whole.
+    date = F.coalesce(F.date_format(F.to_timestamp("date_added"), "yyyyMMddHHmmss").try_cast("long"), F.lit(0))
+    order = F.concat((F.lit(10**14) - date).cast("string"), F.lpad(F.col("item_id").cast("string"), 19, "0"))
+    items = items.withColumn("lib_ord", order.cast("decimal(38,0)"))
     return items, lib.citation_records(items, r["fields"])
 
 

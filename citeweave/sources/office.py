@@ -287,13 +287,19 @@ def coded(documents: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def save_files(documents: DataFrame, folder: str) -> int:
-    """Writes each row's content under its file name to a folder that all executors mount; returns how many."""
+    """Writes each row's content to a folder that all executors mount, under its path below the folder that all documents have in common; returns how many."""
     import os
 
+    ends = documents.agg(F.min("path"), F.max("path")).first()
+    if ends[0] is None:
+        return 0
+    common = len(os.path.commonprefix(list(ends)).rpartition("/")[0]) + 1 if ends[0] != ends[1] else ends[0].rfind("/") + 1
+
     def run(rows: Iterator) -> Iterator[int]:
         n = 0
         for r in rows:
-            target = os.path.join(folder, r["path"].rsplit("/", 1)[-1])
+            target = os.path.join(folder, r["path"][common:].lstrip("/"))
+            os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(f"{target}.part", "wb") as f:
                 f.write(r["content"])
             os.replace(f"{target}.part", target)  # a task that runs again leaves no half a file

@@ -7,6 +7,7 @@ import shutil
 import sqlite3
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import closing, contextmanager
 from pathlib import Path
@@ -17,9 +18,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from citeweave.operators.library import NOT_WORKS
+from citeweave.sources.storage import own_folder
 
 TYPES = {"INT": "long", "CHAR": "string", "CLOB": "string", "TEXT": "string", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
 ROWS = 100_000
+FROZEN = ".frozen"
 
 
 @contextmanager
@@ -33,6 +36,26 @@ def snapshot(path: str) -> Iterator[sqlite3.Connection]:
             yield con
 
 
+def frozen(spark: SparkSession, path: str) -> str:
+    """One copy of the file for all its relations, in the shared folder where that is a mounted one; else the path itself, which each partition copies."""
+    folder = own_folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder or not Path(path).exists():
+        return path
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    return shutil.copy(path, f"{folder}/library-{uuid.uuid4().hex}{FROZEN}")
+
+
+@contextmanager
+def opened(path: str) -> Iterator[sqlite3.Connection]:
+    """Read-only to a copy made by frozen(), else to a copy made now."""
+    if path.endswith(FROZEN):
+        with closing(sqlite3.connect(f"{Path(path).absolute().as_uri()}?immutable=1", uri=True)) as con:
+            yield con
+    else:
+        with snapshot(path) as con:
+            yield con
+
+
 class Rows(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -43,13 +66,13 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.columns = path, table, columns
 
     def partitions(self) -> list[Rows]:
-        with snapshot(self.path) as con:
+        with opened(self.path) as con:
             low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         return [Rows(k, k + ROWS) for k in range(low, high + 1, ROWS)] if low is not None else [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         names = ", ".join(f'"{c}"' for c in self.columns)
-        with snapshot(self.path) as con:
+        with opened(self.path) as con:
             yield from con.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.low, partition.high))
 
 
@@ -61,7 +84,7 @@ class SqliteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> str:
-        with snapshot(self.options["path"]) as con:
+        with opened(self.options["path"]) as con:
             columns = con.execute(f'PRAGMA table_info("{self.options["table"]}")').fetchall()
         kind = lambda t: next((v for k, v in TYPES.items() if k in t.upper()), "string")
         return ", ".join(f"`{c[1]}` {kind(c[2])}" for c in columns)
@@ -85,7 +108,8 @@ def user_id(spark: SparkSession, path: str) -> str:
 
 
 def relations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """works, fields, people, deleted, collections, members: the library's relations, as citeweave.operators.library takes them."""
+    """works, fields, people, deleted, collections, members: the library's relations in one state, as citeweave.operators.library takes them."""
+    path = frozen(spark, path)
     t = lambda name: table(spark, path, name)
     works = t("items").join(F.broadcast(t("itemTypes")), "itemTypeID").where(~F.col("typeName").isin(*NOT_WORKS))
     values = t("itemData").join(F.broadcast(t("fields")), "fieldID").join(t("itemDataValues"), "valueID")

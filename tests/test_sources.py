@@ -117,6 +117,51 @@ def test_sqlite(spark, library):
         sqlite.table(spark, library + "missing", "items")
 
 
+def test_one_state_of_the_library(spark, library):
+    """Relations that are read after the file has changed are still those of the same moment."""
+    import sqlite3
+
+    r = sqlite.relations(spark, library)
+    before = r["members"].count(), r["works"].count()
+    con = sqlite3.connect(library)
+    con.execute("DELETE FROM collectionItems")
+    con.execute("DELETE FROM items")
+    con.commit()
+    con.close()
+    assert (r["members"].count(), r["works"].count()) == before
+    assert sqlite.relations(spark, library)["works"].count() == 0
+
+
+def test_order_of_the_library(spark, monkeypatch):
+    """Items of one second keep apart, however large their ids."""
+    works = spark.createDataFrame([(i, f"K{i}", "book", d, 1) for i, d in [(5, "2020-01-01 00:00:00"), (100_005, "2020-01-01 00:00:00"), (10**12, "2021-01-01 00:00:00"), (7, None)]], "item_id long, item_key string, type_name string, date_added string, library_id int")
+    none = lambda schema: spark.createDataFrame([], schema)
+    tables = {
+        "works": works, "fields": none("item_id long, field_name string, field_value string, ord long"), "people": none("item_id long, order_index int, last_name string, first_name string, creator_role string"),
+        "deleted": none("item_id long"), "collections": none("coll_id long"), "members": none("coll_id long, item_id long"),
+    }
+    monkeypatch.setattr(sqlite, "relations", lambda *a: tables)
+    monkeypatch.setattr(sqlite, "user_id", lambda *a: "1")
+    rows = engine.load_library(spark, "x")[0].orderBy("lib_ord").collect()
+    assert [r.item_id for r in rows] == [10**12, 5, 100_005, 7] and len({r.lib_ord for r in rows}) == 4
+
+
+def test_usual_places(tmp_path):
+    assert sqlite.default_file("library.sqlite", tmp_path) is None
+    for folder in (".zotero", "Zotero"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "library.sqlite").touch()
+        assert sqlite.default_file("library.sqlite", tmp_path) == tmp_path / folder / "library.sqlite"
+
+
+def test_documents_of_one_name(spark, tmp_path):
+    rows = [(f"file:/data/{d}/x.docx", d.encode()) for d in ("a", "b", "ab/c")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    assert office.save_files(df, str(tmp_path / "out")) == 3
+    assert {str(f.relative_to(tmp_path / "out")): f.read_bytes() for f in (tmp_path / "out").rglob("*.docx")} == {f"{d}/x.docx": d.encode() for d in ("a", "b", "ab/c")}
+    assert office.save_files(df.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_collections_with_circles(spark):
     from citeweave.operators import library as lib
 
@@ -153,6 +198,10 @@ def test_whole_way(spark, library, folder, tmp_path):
     assert lines[1:3] == ["Total unmatched: 2", ""] and sorted(lines[3:]) == ["(Lee, 2002)  [para 1]  [suggestion: CCC (2001)]\n", "(Nobody, 1990)  [para 1]\n"]
     engine.save_report(engine.report(a), str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).first().value.startswith("Unmatched citations from: ")
+    assert a.status()["status"] == "done" and a.status()["counts"]["total"] == 6
+    assert [c.coll_name for c in engine.collections(spark, library).collect()] != []
+    settings.save(tmp_path / "s.json", {"db_path": library, "more": 1})
+    assert engine.state(tmp_path / "s.json") == {"docx_path": None, "db_path": library, "collection_id": None}
     assert a.counts().first().asDict() == {"matched": 4, "ambiguous": 0, "suggestions": 1, "total": 6, "unmatched": 1}
 
 

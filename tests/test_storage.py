@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from citeweave.sources import storage
 
 
@@ -13,3 +15,21 @@ def test_unset():
     none = SimpleNamespace(get=lambda *a: None)
     session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="test-app"))
     assert storage.shared_dir(session) == storage.shared_dir(session) != ""
+
+
+def test_a_cluster_has_to_name_a_folder():
+    none = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="far-app", master="spark://host:7077"))
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(session)
+
+
+def test_forget(spark):
+    from pathlib import Path
+
+    storage.stored(spark.range(3), "numbers")
+    folder = Path(storage.own_folder(spark))
+    assert any(folder.iterdir())
+    storage.forget(spark)
+    assert not folder.exists()
+    assert storage.stored(spark.range(3), "numbers").count() == 3
