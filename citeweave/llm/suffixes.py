@@ -1,22 +1,23 @@
-"""Suffix-array dedup: prefix doubling over positions, pruned to those that can still be equal.
+"""Suffix dedup: ranks of positions, sorted in Spark, pruned to those whose strings can still be equal.
 
-A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id. Sorting a rank for every
-position of a corpus moves many times its size, so the ranks are taken where they can matter:
+A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id. This is not prefix doubling with
+a row for each position and round, as the README says with figures: a rank and a place of each position that is left
+after pruning are alone more than the disk allowed. Ranks are taken at a sample of positions, and there are two sorts:
 
-* First offset. Of the SEED-byte ranks (rolling-hash names) in a LENGTH-byte string the least one stands for it: equal
+* SEED bytes. Of the SEED-byte ranks (rolling-hash names) in a LENGTH-byte string the least one stands for it: equal
   strings have equal least ranks, and about one position in 16 is one. These ranks are sorted into buckets; a rank found
   in one text only is unique, and every string that it stands for is dropped. A batch sends each of its ranks once, so a
   rank that a third of all texts hold arrives once per batch.
-* Last offset, the threshold. Positions that are left are sorted by rank, with the bytes around; their strings of LENGTH
-  bytes are ranked by the pair of ranks at half of LENGTH bytes and at as many further on, and in each class of equal
-  pairs all but the smallest document lose the string.
+* LENGTH bytes. Positions that are left are sorted by rank, with the bytes around; their strings of LENGTH bytes are
+  ranked by the pair of ranks at half of LENGTH bytes and at as many further on, confirmed on the bytes, and in each
+  class of equal ones all but the smallest document lose the string.
 
-Equal texts are one class from the start (by 128 bits of SHA-256): a copy of a document with a smaller id goes whole, if it has
-LENGTH bytes at all. Memory: a batch of texts, a bucket of BUCKET ranks, or CHUNK positions; a rank with
-more positions is taken in chunks, whose open strings meet once more by name.
+Equal texts are one class from the start (by 128 bits of SHA-256): a copy of a document with a smaller id goes whole, if it
+has LENGTH bytes at all, and takes no further part. Memory: a batch of texts, a bucket of BUCKET ranks, or CHUNK
+positions; a rank with more positions is taken in chunks, whose open strings meet once more by 128 bits of name.
 
-Cases: a null or empty text has no bytes and keeps the digest of nothing; texts shorter than LENGTH stay; of repeated
-rows with one id, each is judged as that document; rows without an id stay as they are and don't remove anything; an
+Cases: a null or empty text has no bytes and keeps the digest of nothing; texts shorter than LENGTH stay; rows of one id
+are each judged by their own text, as that document; rows without an id stay as they are and don't remove anything; an
 empty table gives an empty result; further columns are passed over.
 """
 
@@ -31,14 +32,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import map_batches, mix64, read, rolling, sha256, slices
+from citeweave.llm.common import map_batches, mix64, read, rolling, sha256, slices, stored
 
 LENGTH, SEED = 50, 20
 #: Of a rank; spread evenly, as least values lie close together. Ranks that are equal by chance cost time, not results.
 BITS = 44
 #: Ranks in a bucket, about, and in the part of it that is sorted at once; bytes of a text that are looked at in one piece; rows
-#: of a rank that are compared in one place.
-BUCKET, SLICE, PIECE, CHUNK = 2_000_000, 250_000, 4_000_000, 10_000
+#: of a rank that are compared in one place; bytes of text for a partition, at most; copies of a small side where the other may be skewed.
+BUCKET, SLICE, PIECE, CHUNK, PART, SALTS = 2_000_000, 250_000, 4_000_000, 10_000, 256_000_000, 32
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -182,25 +183,26 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _positions(length: int, seed: int):
-    """Texts with their shared ranks to (rank, doc_id, at, around): runs of positions and the bytes of their strings.
+    """Texts with their shared ranks to (rank, doc_id, key, at, around): runs of positions and the bytes of their strings.
 
     Of equal runs of one batch only that of the smallest document goes on; the others are covered by it, and are given
     without rank or bytes, as (at, past).
     """
 
     def run(b: dict) -> dict:
-        out: dict[str, list] = {"rank": [], "doc_id": [], "at": [], "past": [], "around": []}
+        out: dict[str, list] = {"rank": [], "doc_id": [], "key": [], "at": [], "past": [], "around": []}
         first: dict[bytes, int] = {}
-        for i, t, blobs in sorted(zip(b["doc_id"], b["text"], b["blobs"], strict=True), key=lambda x: x[0]):
+        for i, key, t, blobs in sorted(zip(b["doc_id"], b["key"], b["text"], b["blobs"], strict=True), key=lambda x: x[:2]):
             data = t.encode()
             shared = np.unique(_unpacked(b"".join(blobs)))
             for rank, start, end in runs(data, length, seed):
                 on = shared[np.minimum(np.searchsorted(shared, rank), len(shared) - 1)] == rank
                 for r, s, e in zip(rank[on].tolist(), start[on].tolist(), end[on].tolist(), strict=True):
                     bytes_ = data[s : e + length - 1]
-                    own = first.setdefault(bytes_, i) == i
+                    own = first.setdefault(bytes_, i) == i  # texts of one id don't cover each other
                     out["rank"].append(r if own else None)
                     out["doc_id"].append(i)
+                    out["key"].append(key)
                     out["at"].append(s)
                     out["past"].append(None if own else s + len(bytes_))
                     out["around"].append(bytes_ if own else None)
@@ -210,29 +212,37 @@ def _positions(length: int, seed: int):
 
 
 def _later_strings(length: int, chunk: int):
-    """Rows sorted by rank, then document, to (name, high, doc_id, a, b): bytes under strings that a smaller document has.
+    """Rows sorted by rank, then document, to (name, high, doc_id, key, a, b): bytes under strings that a smaller document has.
 
     A rank with more rows than a chunk is taken chunk by chunk, so memory doesn't grow with it. What a chunk can't
     settle alone, its strings that no smaller document of the chunk has, is given with the string's name, for
     _across_chunks().
     """
     half = length // 2
-    names = ("name", "high", "doc_id", "a", "b")
 
-    def rows(name, high, doc, a, b) -> pa.RecordBatch:
+    def exact(strings: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by string, then document, and where a new string starts."""
+        number = np.unique(strings[place], axis=0, return_inverse=True)[1].ravel()
+        order = np.lexsort((doc, number))
+        return order, np.r_[True, np.diff(number[order]) != 0]
+
+    names = ("name", "high", "doc_id", "key", "a", "b")
+
+    def rows(name, high, doc, key, a, b) -> pa.RecordBatch:
         none = lambda: pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([none() if name is None else pa.array(name.view(np.int64)), none() if high is None else pa.array(high.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, a, b))], names=names)
+        return pa.RecordBatch.from_arrays([none() if name is None else pa.array(name.view(np.int64)), none() if high is None else pa.array(high.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, key, a, b))], names=names)
 
-    def answer(rank: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[bytes], large: int | None) -> Iterator[pa.RecordBatch]:
+    def answer(rank: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray, around: list[bytes], large: int | None) -> Iterator[pa.RecordBatch]:
         several = rank == (-1 if large is None else large)
         several[1:] |= rank[1:] == rank[:-1]
         several[:-1] |= rank[1:] == rank[:-1]
         pick = np.flatnonzero(several)
         if not len(pick):
             return
-        rank, doc, at, around = rank[pick], doc[pick], at[pick], [around[k] for k in pick.tolist()]
+        rank, doc, key, at, around = rank[pick], doc[pick], key[pick], at[pick], [around[k] for k in pick.tolist()]
         size = np.array([len(x) for x in around], np.int64)
-        values = np.frombuffer(b"".join(around), np.uint8).astype(np.uint64) + np.uint64(1)
+        data = np.frombuffer(b"".join(around), np.uint8)
+        values = data.astype(np.uint64) + np.uint64(1)
         begin = np.cumsum(size) - size
         many = size - length + 1
         row = np.repeat(np.arange(len(size)), many)
@@ -243,7 +253,16 @@ def _later_strings(length: int, chunk: int):
         order = np.lexsort((doc[row], high, name))
         n, h, d = name[order], high[order], doc[row][order]
         new = np.r_[True, (n[1:] != n[:-1]) | (h[1:] != h[:-1])]
-        least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        strings = np.lib.stride_tricks.sliding_window_view(data, length)
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for c in range(0, len(order), 1 << 16):  # equal names are confirmed on the bytes
+            mine, theirs = order[c : c + (1 << 16)], order[first[c : c + (1 << 16)]]
+            if not (strings[place[mine]] == strings[place[theirs]]).all():
+                order, new = exact(strings, place, doc[row])
+                d = doc[row][order]
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                break
+        least = d[first]
         goes = np.zeros(len(row), bool)
         goes[order] = d > least
         shift = at[row] + place - begin[row]
@@ -251,9 +270,9 @@ def _later_strings(length: int, chunk: int):
         if len(g):  # neighbouring positions of a run are one span
             new = np.r_[True, (np.diff(g) > 1) | (row[g][1:] != row[g][:-1])]
             a, z = g[new], np.r_[g[np.flatnonzero(new)[1:] - 1], g[-1]]
-            yield rows(None, None, doc[row[a]], shift[a], shift[z] + length)
+            yield rows(None, None, doc[row[a]], key[row[a]], shift[a], shift[z] + length)
         if large is not None and len(o := np.flatnonzero(~goes & (rank[row] == large))):
-            yield rows(name[o], high[o], doc[row[o]], shift[o], shift[o] + length)
+            yield rows(name[o], high[o], doc[row[o]], key[row[o]], shift[o], shift[o] + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -261,44 +280,44 @@ def _later_strings(length: int, chunk: int):
         for b in batches:
             done = b.filter(pa.compute.is_null(b.column("rank")))
             if done.num_rows:
-                yield rows(None, None, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "at", "past")))
+                yield rows(None, None, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "at", "past")))
             b = b.filter(pa.compute.is_valid(b.column("rank")))
             if not b.num_rows:
                 continue
-            kept.append((*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "doc_id", "at")), b.column("around").to_pylist()))
+            kept.append((*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "doc_id", "key", "at")), b.column("around").to_pylist()))
             size += b.num_rows
             if size < chunk:
                 continue
-            rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
-            around = [x for k in kept for x in k[3]]
+            rank, doc, key, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
+            around = [x for k in kept for x in k[4]]
             last = int(np.searchsorted(rank, rank[-1]))  # the last rank's rows may go on
             if last:
-                kept, size = [(rank[last:], doc[last:], at[last:], around[last:])], len(rank) - last
-                yield from answer(rank[:last], doc[:last], at[:last], around[:last], large)
+                kept, size = [(rank[last:], doc[last:], key[last:], at[last:], around[last:])], len(rank) - last
+                yield from answer(rank[:last], doc[:last], key[:last], at[:last], around[:last], large)
                 large = None if large != rank[-1] else large
             if size >= chunk and rank[0] == rank[-1] or size >= 2 * chunk:
                 large = int(rank[-1])
-                yield from answer(rank[last:], doc[last:], at[last:], around[last:], large)
+                yield from answer(rank[last:], doc[last:], key[last:], at[last:], around[last:], large)
                 kept, size = [], 0
         if size:
-            rank, doc, at = (np.concatenate([k[c] for k in kept]) for c in range(3))
-            yield from answer(rank, doc, at, [x for k in kept for x in k[3]], large)
+            rank, doc, key, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
+            yield from answer(rank, doc, key, at, [x for k in kept for x in k[4]], large)
 
     return run
 
 
 def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by name, high and document to (doc_id, a, b): those without a name, and those whose string an earlier document has."""
-    key, first = None, None
+    """Rows sorted by name, high and document to (doc_id, key, a, b): those without a name, and those whose string an earlier document has."""
+    now, first = None, None
     for b in batches:
         name, high, doc = (pa.compute.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in ("name", "high", "doc_id"))
         keep = b.column("name").is_null().to_numpy(zero_copy_only=False).copy()
         for k in np.flatnonzero(~keep).tolist():
-            if (name[k], high[k]) != key:
-                key, first = (name[k], high[k]), doc[k]
+            if (name[k], high[k]) != now:
+                now, first = (name[k], high[k]), doc[k]
             keep[k] = doc[k] > first
         if keep.any():
-            yield b.filter(pa.array(keep)).select(["doc_id", "a", "b"])
+            yield b.filter(pa.array(keep)).select(["doc_id", "key", "a", "b"])
 
 
 def _keep(length: int):
@@ -325,30 +344,42 @@ def _long_ids(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text[, rest]) to these and (cuts, copy): the spans of bytes to remove, unmerged, or that the whole text is a copy."""
-    spark = docs.sparkSession
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
     own = [c for c in docs.columns if c != "doc_id"]
     known = texts.where("doc_id is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    salt = 0
+    while True:
+        named = known.select("doc_id", _key(salt), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("sha"), F.octet_length("text").cast("long").alias("size"))
+        named = stored(named, "names")
+        least = stored(named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("doc_id").alias("last"), F.sum("size").alias("size")), "classes")
+        if least.groupBy("key").count().where("count > 1").isEmpty():  # a key is one text's
+            break
+        salt += 1
+    total = least.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     n_buckets = max(1, -(-int(total * 2 / (length - seed + 2)) // BUCKET))
-    named = known.select("doc_id", F.xxhash64("text").alias("key"), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("sha"))
-    least = named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
-    copies = named.join(least.select("sha", "rep"), "sha").where("doc_id > rep").select("doc_id").distinct()
-    seeds = map_batches(known.select(F.xxhash64("text").alias("key"), "text"), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary")
+    several = least.where("rep < last").select("sha", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, ["sha", "salt"]).where("doc_id > rep").select("doc_id", "key").distinct()
+    moved = known.withColumn("key", _key(salt)).repartition(parts, "doc_id", "key")
+    reps = least.where(F.col("size") >= length).select(F.col("rep").alias("doc_id"), "key", F.lit(1).alias("once"))
+    seeds = map_batches(moved.join(reps, ["doc_id", "key"]), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary", ("key", "text"))
     by_key = seeds.repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.pmod("key", F.lit(4096)))).sortWithinPartitions("bucket")
     shared = by_key.mapInArrow(_shared_ranks, "key long, ranks binary")
-    for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id")), "key").groupBy("doc_id").agg(F.collect_list("ranks").alias("blobs"))
-    moved = texts.where("doc_id is not null").repartition(parts, "doc_id")
-    positions = map_batches(moved.join(for_doc, "doc_id"), _positions(length, seed), "rank long, doc_id long, at long, past long, around binary", ("doc_id", "text", "blobs"))
+    for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id")), "key").groupBy("doc_id", "key").agg(F.collect_list("ranks").alias("blobs"))
+    positions = map_batches(moved.join(for_doc, ["doc_id", "key"]), _positions(length, seed), "rank long, doc_id long, key long, at long, past long, around binary", ("doc_id", "key", "text", "blobs"))
     by_rank = positions.repartition(parts, F.coalesce("rank", F.xxhash64("doc_id"))).sortWithinPartitions("rank", "doc_id")
-    found = by_rank.mapInArrow(_later_strings(length, CHUNK), "name long, high long, doc_id long, a long, b long")
+    found = by_rank.mapInArrow(_later_strings(length, CHUNK), "name long, high long, doc_id long, key long, a long, b long")
     by_name = found.repartition(parts, F.coalesce("name", F.xxhash64("doc_id", "a"))).sortWithinPartitions("name", "high", "doc_id")
-    later = by_name.mapInArrow(_across_chunks, "doc_id long, a long, b long")
-    cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    marks = cuts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select("doc_id", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    later = by_name.mapInArrow(_across_chunks, "doc_id long, key long, a long, b long")
+    cuts = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    marks = cuts.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "full").select("doc_id", "key", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
     none = texts.where("doc_id is null").select("doc_id", *own, F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
-    return moved.join(marks, "doc_id", "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
+    return moved.join(marks, ["doc_id", "key"], "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
+
+
+def _key(salt: int) -> F.Column:
+    """64 bits that name a text; with another salt where two texts have the same."""
+    return (F.xxhash64("text", F.lit(salt)) if salt else F.xxhash64("text")).alias("key")
 
 
 def _cut(b: dict, length: int):
@@ -376,7 +407,7 @@ def dedup_digest(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
 def dedup_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with the texts that are left, n_chars to match, other columns as they are; bytes of a character cut in two go with the others of it. A null text stays null."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(F.col("text").isNull().alias("_none"), *others)
+    rest = F.struct(F.col("text").isNull().alias("none"), F.struct(F.lit(0).alias("doc_id"), *others).alias("own"))
     marked = repeated_spans(_long_ids(docs.withColumn("_rest", rest).select("doc_id", "text", F.col("_rest").alias("rest"))), length, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +416,10 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(left, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
 
     out = marked.mapInArrow(run, marked.select("doc_id", "text", "rest").schema)
-    text = F.when(~F.col("rest._none"), F.col("text"))
+    text = F.when(~F.col("rest.none"), F.col("text"))
     size = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
     own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text, "n_chars": size}
-    return out.select(*[(own[c] if own.get(c) is not None else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(own[c] if own.get(c) is not None else F.col(f"rest.own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

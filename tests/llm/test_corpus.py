@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -102,6 +103,30 @@ def test_suffix_dedup_cases(spark):
     assert rows(out, "doc_id", "text", "n_chars") == [("1", "é" * 60, "60"), ("2", "ab", "2"), ("3", "None", "None")]
 
 
+def test_suffix_dedup_of_ids_with_several_texts(spark):
+    """Each row by its own text: that another row of its id is a copy, or is cut, doesn't touch it."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a, b, c, p = text(90), text(120), text(80), text(60)
+    table = [(3, a), (7, a), (7, b + p), (7, c), (8, c + "x" + p), (5, p + text(30)), (7, b + p)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.dedup_digest(docs(spark, table)).collect())
+    assert got == [(3, 90, 0), (5, 90, 0), (7, 80, 0), (7, 90, 90), (7, 180, 60), (7, 180, 60), (8, 141, 140)]
+    df = docs(spark, table).withColumn("_none", F.lit(1)).withColumn("none", F.lit(2)).withColumn("own", F.lit(3))
+    assert suffixes.dedup_texts(df).columns == df.columns and rows(suffixes.dedup_texts(df), "doc_id", "_none", "own")[0] == ("3", "1", "3")
+
+
+def test_suffix_dedup_when_names_collide(spark, monkeypatch):
+    """Names that say nothing: strings are told apart by their bytes."""
+    texts = corpus(5, 20)
+    plain = suffixes.rolling
+    monkeypatch.setattr(suffixes, "rolling", lambda values, n: plain(values, n) & np.uint64(1))  # goes along with _later_strings; seeds are read by the module's own
+    b = pa.RecordBatch.from_pydict({"rank": [1, 1], "doc_id": [1, 2], "key": [1, 2], "at": [0, 0], "past": pa.array([None, None], pa.int64()), "around": [b"a" * 60, b"a" * 55 + b"b" * 5]})
+    (out,) = suffixes._later_strings(50, 10)([b])
+    assert [(r["doc_id"], r["a"], r["b"]) for r in out.to_pylist()] == [(2, 0, 55)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup_digest(docs(spark, texts)).collect()}
+    assert got == removed(texts)
+
+
 # --- SimHash -------------------------------------------------------------------------------------------------------------
 
 
