@@ -39,6 +39,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def checked(spec: dict) -> None:
+    """Raises an error for a file whose text is prepared in another way than here: NFC, white space as one, lower case; words by PATTERN, as bytes; the mark of a word's end."""
+    if "normalizer" not in spec:
+        return
+    steps = [(s["type"], s.get("pattern")) for s in spec["normalizer"]["normalizers"]]
+    split, level = spec["pre_tokenizer"]["pretokenizers"]
+    same = steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] and split["pattern"]["Regex"] == PATTERN.pattern.replace(r"\p{White_Space}", r"\s")
+    same = same and (split["behavior"], split["invert"]) == ("Removed", True) and not level["add_prefix_space"] and not level["use_regex"] and spec["model"]["end_of_word_suffix"] == END
+    if not same or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("this vocabulary prepares its text in another way")
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,7 +75,9 @@ class WordBpe:
             np.minimum.at(use, side, np.arange(len(pairs)))
         self.monotone = bool((use[self.made] > np.arange(len(pairs))).all())
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.done: dict[str, tuple[int, str, str]] = {}
+        checked(spec)
+        #: Of each known word, and of each special token by its id: number of ids, their list, the decoded text.
+        self.done: dict[str | int, tuple[int, str, str]] = self.specials()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or the number of merges where there is none."""
@@ -137,12 +151,13 @@ class WordBpe:
             note(np.unique(fresh))
         return np.split(sym[sym >= 0], np.cumsum(np.add.reduceat(sym >= 0, ends - size))[:-1])
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet: each as its number of ids, their list and the decoded text."""
+    def specials(self) -> dict[str | int, tuple[int, str, str]]:
+        return {i: (1, str(i), w) for w, i in self.special.items()}
+
+    def learn(self, words: set[str | int]) -> None:
+        """Encodes the words that aren't known yet."""
         if len(self.done) > KEPT:
-            self.done.clear()
-            for w, i in self.special.items():
-                self.done[w] = (1, str(i), w)
+            self.done = self.specials()
         fresh = [w for w in words if w not in self.done]
         for k in range(0, len(fresh), 200_000):
             some = fresh[k : k + 200_000]
@@ -150,13 +165,14 @@ class WordBpe:
                 ids = ids.tolist()
                 self.done[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text; the strings of special tokens as they are."""
-        if self.cut is None or "<|" not in text:
-            return PATTERN.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        out = []
+    def split(self, text: str) -> list[str | int]:
+        """The words of a text; special tokens by their ids."""
+        plain = lambda t: PATTERN.findall(unicodedata.normalize("NFC", t).replace("Σ", "σ").lower())
+        if not any(w in text for w in self.special):
+            return plain(text)
+        out: list[str | int] = []
         for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else PATTERN.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            out += [self.special[part]] if k % 2 else plain(part)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -165,11 +181,8 @@ class WordBpe:
 
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text or "")
-        self.learn({*words} - self.special.keys())
-        out: list[int] = []
-        for w in words:
-            out += [self.special[w]] if w in self.special else map(int, self.done[w][1].split(" "))
-        return out
+        self.learn({*words})
+        return [int(i) for w in words for i in self.done[w][1].split(" ")]
 
 
 @lru_cache(2)
@@ -189,10 +202,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 size += len(b["text"][end] or "")
                 end += 1
             texts = [bpe.split(t or "") for t in b["text"][at:end]]
-            bpe.learn({w for t in texts for w in t} - bpe.special.keys())
-            own = bpe.done | {w: (1, str(i), w) for w, i in bpe.special.items()} if any(w in t for w in bpe.special for t in texts) else bpe.done
+            bpe.learn({w for t in texts for w in t})
             for i, words in zip(b["doc_id"][at:end], texts, strict=True):
-                got = [own[w] for w in words]
+                got = [bpe.done[w] for w in words]
                 rows.append((i, sum(g[0] for g in got), sha256(" ".join([g[1] for g in got]).encode()), sha256(" ".join([g[2] for g in got]).encode())))
             at = end
         return rows_of(rows, [f.split()[0] for f in SCHEMA.split(", ")])

@@ -137,7 +137,7 @@ def _pack_group(capacity: int, last: bool):
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """parts (columns of PIECES, lengths of 1 to capacity) with sequence_id and offset."""
     schema = f"{PIECES}, sequence_id long, offset long, done boolean"
-    todo, final, first = parts, None, 0
+    todo, final, first, kept, bins = parts, None, 0, None, 0
     for r in range(rounds):
         n = todo.count()
         if not n and final is not None:
@@ -145,9 +145,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         groups = max(1, -(-n // group))
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(groups)) + F.lit(first))
         out = stored(dealt.groupBy("grp").applyInArrow(_pack_group(capacity, r == rounds - 1), schema), f"packed{r}")
+        if kept is not None and out.select("sequence_id").distinct().count() >= bins:
+            return final.unionByName(kept)  # exchanging documents hasn't saved a sequence
         done = out.where("done").drop("done")
         final = done if final is None else final.unionByName(done)
-        todo, first = out.where("not done").select(*parts.columns), first + groups
+        kept = out.where("not done").drop("done")
+        bins = kept.select("sequence_id").distinct().count()
+        todo, first = kept.select(*parts.columns), first + groups
     return final
 
 

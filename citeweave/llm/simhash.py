@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import map_batches, read, stored
@@ -214,12 +214,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest of each class, all columns as they are; of rows repeated under one id one stays. Rows without an id stay. The texts are shuffled at any size, as what goes has no bound."""
-    ids = stored(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
-    out = docs.join(ids.where("low <> doc_id").select(F.col("doc_id").alias(id_col)).hint("merge"), id_col, "left_anti").select(*docs.columns)
-    if ids.where("n > 1").limit(1).count():
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
-    return out
+    """docs without all but the smallest of each class, all columns as they are; of rows repeated under one id the one with the least text stays for each class whose smallest they are. Rows without an id stay. The texts are shuffled at any size, as what goes has no bound."""
+    known = stored(near_duplicates(docs, id_col, text_col).where("doc_id is not null"), "classes")
+    ids = known.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    ids = stored(ids.where("low <> doc_id or n > 1"), "to-go")
+    out = docs.join(ids.select(F.col("doc_id").alias(id_col)).hint("merge"), id_col, "left_anti").select(*docs.columns)
+    again = ids.where("n > 1")
+    if again.isEmpty():
+        return out
+    rows = docs.join(again.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    print_of = F.pandas_udf(lambda texts: texts.map(lambda t: f"{fingerprint(t, WIDTH):016x}"), "string")
+    rows = rows.withColumn("doc_id", F.col(f"row.`{id_col}`").cast("long")).withColumn("fingerprint", print_of(F.coalesce(f"row.`{text_col}`", F.lit(""))))
+    own = known.where("doc_id = component_id").select("doc_id", "fingerprint", "component_id").distinct()
+    first = Window.partitionBy("doc_id", "component_id").orderBy(F.col(f"row.`{text_col}`"), F.hash("row"))
+    few = rows.join(own, ["doc_id", "fingerprint"]).withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return out.unionByName(few.select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

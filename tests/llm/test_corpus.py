@@ -202,6 +202,8 @@ def test_simhash_cases(spark):
     kept = simhash.one_of_each(df)
     assert rows(kept, "doc_id", "text") == [("2", ""), ("None", "None"), ("None", "a b c")] and kept.columns == df.columns
     assert simhash.fingerprint("x " * 100_000) == simhash.fingerprint("x x x")
+    several = docs(spark, [(3, "one text of its own"), (7, "one text of its own"), (7, "quite another text here"), (7, "quite another text here"), (8, "quite another text here")])
+    assert rows(simhash.one_of_each(several), "doc_id", "text") == [("3", "one text of its own"), ("7", "quite another text here")]
 
 
 def test_components(spark):
@@ -606,6 +608,15 @@ def test_packing(spark):
     assert rows(packing.pieces(df, vocabulary("byte_bpe_50k.tiktoken"))) == rows(packing.pieces(clashing(df), vocabulary("byte_bpe_50k.tiktoken")))
 
 
+def test_packing_against_the_bound(spark):
+    """On a table of the test data: how far above what no packing can beat."""
+    parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), vocabulary("byte_bpe_50k.tiktoken")).persist()
+    bound = packing.lower_bound(np.array([r.length for r in parts.collect()]), 1024)
+    for group in (packing.GROUP, 300):
+        n = packing.pack(parts, group=group).select("sequence_id").distinct().count()
+        assert bound <= n <= bound * 1.02
+
+
 def test_uncertified_groups_exchange(spark):
     sizes = [600] * 30 + [424] * 30 + [100] * 7
     parts = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES)

@@ -306,6 +306,23 @@ def test_bpe_rows(spark, pair):
     assert run(docs(spark, texts).limit(0)).count() == 0 and same_with_more_columns(run, docs(spark, texts))
 
 
+def test_bpe_of_other_files(tmp_path):
+    """Special tokens are found whatever they look like; a file that prepares its text otherwise is refused."""
+    spec = json.loads(open(bpe.vocabulary("word_bpe_49k.json")).read())
+    token = spec["added_tokens"][0] | {"content": "[mask]", "id": 49408}
+    path = tmp_path / "mask.json"
+    path.write_text(json.dumps(spec | {"added_tokens": [*spec["added_tokens"], token]}))
+    ours, theirs = bpe.WordBpe(str(path)), Tokenizer.from_file(str(path))
+    for text in ("a [mask] b[mask]", "[MASK] and [mask]<|endoftext|>", "mask"):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == ids and ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    other = json.loads(json.dumps(spec))
+    other["normalizer"]["normalizers"][0]["type"] = "NFKC"
+    path.write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="another way"):
+        bpe.WordBpe(str(path))
+
+
 def test_bpe_forgets(pair, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 3)
     ours, theirs = bpe.WordBpe(bpe.vocabulary("word_bpe_49k.json")), pair[1]
