@@ -64,6 +64,16 @@ def least_first(score: float) -> float:
 NAME_LEVELS, TITLE_LEVELS = 2, 6
 
 
+#: Parts that the names of one first letter are dealt to, as few letters begin most names.
+PARTS = 16
+
+
+def by_first(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left (a, first) and right (b, first) joined on the first letter, the names of a letter in PARTS parts."""
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int"))
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["first", "_part"]).drop("_part")
+
+
 def name_scores(citations: DataFrame, library: DataFrame, least: float, alone: float | None = None) -> DataFrame:
     """(a, b, s1): the share of each distinct pair of name forms that begin alike, of `least` hundredths or more (of `alone` where one of them never has a second author beside it)."""
     alone = least if alone is None else alone
@@ -72,7 +82,7 @@ def name_scores(citations: DataFrame, library: DataFrame, least: float, alone: f
     b = item_names(library).select("names", F.explode(name_forms(F.get("names", 0), False)).alias("b")).groupBy("b").agg(several("names"))
     first = lambda df, c: df.select(c, F.substring(c, 1, 1).alias("first"), F.col("several").alias(f"several_{c}"), signature(F.col(c), NAME_LEVELS).alias(f"sig_{c}"))
     limit = F.when(F.col("several_a") & F.col("several_b"), float(least)).otherwise(float(alone))
-    pairs = first(a, "a").join(first(b, "b"), "first").where(could_reach(F.col("a"), F.col("b"), limit))
+    pairs = by_first(first(a, "a"), first(b, "b")).where(could_reach(F.col("a"), F.col("b"), limit))
     pairs = pairs.where(could_share(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"), NAME_LEVELS, limit))
     return pairs.select("a", "b", limit.alias("limit"), (indel_ratio(F.col("a"), F.col("b")) / 100).alias("s1")).where(F.col("s1") >= F.col("limit") / 100 - 1e-9).drop("limit")
 
@@ -192,7 +202,7 @@ def year_agnostic(citations: DataFrame, library: DataFrame, t: Thresholds = Thre
     items = item_names(library).select("lib_ord", "item_key", F.lower(strip_particles(F.get("names", 0))).alias("b")).withColumn("first", F.substring("b", 1, 1))
     names = items.groupBy("first", "b").agg(F.min(F.struct("lib_ord", "item_key")).alias("i"))  # of one name only the first item can win
     left = cites.select("a", "first").distinct().withColumn("sig_a", signature(F.col("a"), NAME_LEVELS))
-    pairs = left.join(names.withColumn("sig_b", signature(F.col("b"), NAME_LEVELS)), "first").where(could_reach(F.col("a"), F.col("b"), float(t.last_resort)))
+    pairs = by_first(left, names.withColumn("sig_b", signature(F.col("b"), NAME_LEVELS))).where(could_reach(F.col("a"), F.col("b"), float(t.last_resort)))
     pairs = pairs.where(could_share(F.col("a"), F.col("b"), F.col("sig_a"), F.col("sig_b"), NAME_LEVELS, float(t.last_resort)))
     best = pairs.withColumn("s", indel_ratio(F.col("a"), F.col("b")) / 100).groupBy("a").agg(F.max_by("i", F.struct("s", -F.col("i.lib_ord"))).alias("i"), F.max("s").alias("s"))
     return cites.join(best.where(F.col("s") >= t.last_resort / 100), "a").select("cit_id", "i.lib_ord", "i.item_key", (F.col("s") * 0.5).alias("score"))
