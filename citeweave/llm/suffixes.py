@@ -90,8 +90,8 @@ def _seed_batches(n_buckets: int, length: int, seed: int):
         keys = np.array(b["key"], np.int64)
         ranks, owner = [], []
         seen: set[int] = set()
-        for k, (key, t) in enumerate(zip(b["key"], b["text"], strict=True)):
-            if t and key not in seen and len(t) * 4 >= length:
+        for k, (key, own, t) in enumerate(zip(b["key"], b["own"], b["text"], strict=True)):
+            if key == own and key not in seen and len(t) * 4 >= length:
                 seen.add(key)
                 if got := [r for r, _, _ in runs(t.encode(), length, seed)]:
                     mine = np.unique(np.concatenate(got))
@@ -183,16 +183,16 @@ def _shared_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _positions(length: int, seed: int):
-    """Texts with their shared ranks to (rank, doc_id, key, at, around): runs of positions and the bytes of their strings.
+    """Texts with their shared ranks to (rank, doc_id, which, at, around): runs of positions and the bytes of their strings.
 
     Of equal runs of one batch only that of the smallest document goes on; the others are covered by it, and are given
     without rank or bytes, as (at, past).
     """
 
     def run(b: dict) -> dict:
-        out: dict[str, list] = {"rank": [], "doc_id": [], "key": [], "at": [], "past": [], "around": []}
+        out: dict[str, list] = {"rank": [], "doc_id": [], "which": [], "at": [], "past": [], "around": []}
         first: dict[bytes, int] = {}
-        for i, key, t, blobs in sorted(zip(b["doc_id"], b["key"], b["text"], b["blobs"], strict=True), key=lambda x: x[:2]):
+        for i, which, t, blobs in sorted(zip(b["doc_id"], b["which"], b["text"], b["blobs"], strict=True), key=lambda x: x[:2]):
             data = t.encode()
             shared = np.unique(_unpacked(b"".join(blobs)))
             for rank, start, end in runs(data, length, seed):
@@ -202,7 +202,7 @@ def _positions(length: int, seed: int):
                     own = first.setdefault(bytes_, i) == i  # texts of one id don't cover each other
                     out["rank"].append(r if own else None)
                     out["doc_id"].append(i)
-                    out["key"].append(key)
+                    out["which"].append(which)
                     out["at"].append(s)
                     out["past"].append(None if own else s + len(bytes_))
                     out["around"].append(bytes_ if own else None)
@@ -212,7 +212,7 @@ def _positions(length: int, seed: int):
 
 
 def _later_strings(length: int, chunk: int):
-    """Rows sorted by rank, then document, to (name, high, doc_id, key, a, b): bytes under strings that a smaller document has.
+    """Rows sorted by rank, then document, to (name, high, doc_id, which, a, b): bytes under strings that a smaller document has.
 
     A rank with more rows than a chunk is taken chunk by chunk, so memory doesn't grow with it. What a chunk can't
     settle alone, its strings that no smaller document of the chunk has, is given with the string's name, for
@@ -226,20 +226,20 @@ def _later_strings(length: int, chunk: int):
         order = np.lexsort((doc, number))
         return order, np.r_[True, np.diff(number[order]) != 0]
 
-    names = ("name", "high", "doc_id", "key", "a", "b")
+    names = ("name", "high", "doc_id", "which", "a", "b")
 
-    def rows(name, high, doc, key, a, b) -> pa.RecordBatch:
+    def rows(name, high, doc, which, a, b) -> pa.RecordBatch:
         none = lambda: pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([none() if name is None else pa.array(name.view(np.int64)), none() if high is None else pa.array(high.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, key, a, b))], names=names)
+        return pa.RecordBatch.from_arrays([none() if name is None else pa.array(name.view(np.int64)), none() if high is None else pa.array(high.view(np.int64)), *(pa.array(x, pa.int64()) for x in (doc, which, a, b))], names=names)
 
-    def answer(rank: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray, around: list[bytes], large: int | None) -> Iterator[pa.RecordBatch]:
+    def answer(rank: np.ndarray, doc: np.ndarray, which: np.ndarray, at: np.ndarray, around: list[bytes], large: int | None) -> Iterator[pa.RecordBatch]:
         several = rank == (-1 if large is None else large)
         several[1:] |= rank[1:] == rank[:-1]
         several[:-1] |= rank[1:] == rank[:-1]
         pick = np.flatnonzero(several)
         if not len(pick):
             return
-        rank, doc, key, at, around = rank[pick], doc[pick], key[pick], at[pick], [around[k] for k in pick.tolist()]
+        rank, doc, which, at, around = rank[pick], doc[pick], which[pick], at[pick], [around[k] for k in pick.tolist()]
         size = np.array([len(x) for x in around], np.int64)
         data = np.frombuffer(b"".join(around), np.uint8)
         values = data.astype(np.uint64) + np.uint64(1)
@@ -270,9 +270,9 @@ def _later_strings(length: int, chunk: int):
         if len(g):  # neighbouring positions of a run are one span
             new = np.r_[True, (np.diff(g) > 1) | (row[g][1:] != row[g][:-1])]
             a, z = g[new], np.r_[g[np.flatnonzero(new)[1:] - 1], g[-1]]
-            yield rows(None, None, doc[row[a]], key[row[a]], shift[a], shift[z] + length)
+            yield rows(None, None, doc[row[a]], which[row[a]], shift[a], shift[z] + length)
         if large is not None and len(o := np.flatnonzero(~goes & (rank[row] == large))):
-            yield rows(name[o], high[o], doc[row[o]], key[row[o]], shift[o], shift[o] + length)
+            yield rows(name[o], high[o], doc[row[o]], which[row[o]], shift[o], shift[o] + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -280,34 +280,34 @@ def _later_strings(length: int, chunk: int):
         for b in batches:
             done = b.filter(pa.compute.is_null(b.column("rank")))
             if done.num_rows:
-                yield rows(None, None, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "at", "past")))
+                yield rows(None, None, *(done.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "which", "at", "past")))
             b = b.filter(pa.compute.is_valid(b.column("rank")))
             if not b.num_rows:
                 continue
-            kept.append((*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "doc_id", "key", "at")), b.column("around").to_pylist()))
+            kept.append((*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "doc_id", "which", "at")), b.column("around").to_pylist()))
             size += b.num_rows
             if size < chunk:
                 continue
-            rank, doc, key, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
+            rank, doc, which, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
             around = [x for k in kept for x in k[4]]
             last = int(np.searchsorted(rank, rank[-1]))  # the last rank's rows may go on
             if last:
-                kept, size = [(rank[last:], doc[last:], key[last:], at[last:], around[last:])], len(rank) - last
-                yield from answer(rank[:last], doc[:last], key[:last], at[:last], around[:last], large)
+                kept, size = [(rank[last:], doc[last:], which[last:], at[last:], around[last:])], len(rank) - last
+                yield from answer(rank[:last], doc[:last], which[:last], at[:last], around[:last], large)
                 large = None if large != rank[-1] else large
             if size >= chunk and rank[0] == rank[-1] or size >= 2 * chunk:
                 large = int(rank[-1])
-                yield from answer(rank[last:], doc[last:], key[last:], at[last:], around[last:], large)
+                yield from answer(rank[last:], doc[last:], which[last:], at[last:], around[last:], large)
                 kept, size = [], 0
         if size:
-            rank, doc, key, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
-            yield from answer(rank, doc, key, at, [x for k in kept for x in k[4]], large)
+            rank, doc, which, at = (np.concatenate([k[c] for k in kept]) for c in range(4))
+            yield from answer(rank, doc, which, at, [x for k in kept for x in k[4]], large)
 
     return run
 
 
 def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by name, high and document to (doc_id, key, a, b): those without a name, and those whose string an earlier document has."""
+    """Rows sorted by name, high and document to (doc_id, which, a, b): those without a name, and those whose string an earlier document has."""
     now, first = None, None
     for b in batches:
         name, high, doc = (pa.compute.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in ("name", "high", "doc_id"))
@@ -317,7 +317,7 @@ def _across_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 now, first = (name[k], high[k]), doc[k]
             keep[k] = doc[k] > first
         if keep.any():
-            yield b.filter(pa.array(keep)).select(["doc_id", "key", "a", "b"])
+            yield b.filter(pa.array(keep)).select(["doc_id", "which", "a", "b"])
 
 
 def _keep(length: int):
@@ -360,21 +360,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     n_buckets = max(1, -(-int(total * 2 / (length - seed + 2)) // BUCKET))
     several = least.where("rep < last").select("sha", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copies = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, ["sha", "salt"]).where("doc_id > rep").select("doc_id", "key").distinct()
-    moved = known.withColumn("key", _key(salt)).repartition(parts, "doc_id", "key")
-    reps = least.where(F.col("size") >= length).select(F.col("rep").alias("doc_id"), "key", F.lit(1).alias("once"))
-    seeds = map_batches(moved.join(reps, ["doc_id", "key"]), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary", ("key", "text"))
+    # Which text of its id a row is: 0 where ids have one text each, so it costs nothing then.
+    mixed = not named.groupBy("doc_id").agg((F.min("key") < F.max("key")).alias("mixed")).where("mixed").isEmpty()
+    which = (F.col("key") if mixed else F.lit(0).cast("long")).alias("which")
+    on = ["doc_id", "which"] if mixed else ["doc_id"]
+    copies = copies.select("doc_id", which).select(*on)
+    moved = known.select("*", _key(salt)).select("*", which).repartition(parts, *on)
+    reps = least.where(F.col("size") >= length).select(F.col("rep").alias("doc_id"), which, F.col("key").alias("own")).select(*on, "own")
+    seeds = map_batches(moved.join(reps, on), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary", ("key", "own", "text"))
     by_key = seeds.repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.pmod("key", F.lit(4096)))).sortWithinPartitions("bucket")
     shared = by_key.mapInArrow(_shared_ranks, "key long, ranks binary")
-    for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id")), "key").groupBy("doc_id", "key").agg(F.collect_list("ranks").alias("blobs"))
-    positions = map_batches(moved.join(for_doc, ["doc_id", "key"]), _positions(length, seed), "rank long, doc_id long, key long, at long, past long, around binary", ("doc_id", "key", "text", "blobs"))
+    for_doc = shared.join(least.select("key", F.col("rep").alias("doc_id"), which), "key").groupBy(*on).agg(F.collect_list("ranks").alias("blobs"))
+    positions = map_batches(moved.join(for_doc, on), _positions(length, seed), "rank long, doc_id long, which long, at long, past long, around binary", ("doc_id", "which", "text", "blobs"))
     by_rank = positions.repartition(parts, F.coalesce("rank", F.xxhash64("doc_id"))).sortWithinPartitions("rank", "doc_id")
-    found = by_rank.mapInArrow(_later_strings(length, CHUNK), "name long, high long, doc_id long, key long, a long, b long")
+    found = by_rank.mapInArrow(_later_strings(length, CHUNK), "name long, high long, doc_id long, which long, a long, b long")
     by_name = found.repartition(parts, F.coalesce("name", F.xxhash64("doc_id", "a"))).sortWithinPartitions("name", "high", "doc_id")
-    later = by_name.mapInArrow(_across_chunks, "doc_id long, key long, a long, b long")
-    cuts = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    marks = cuts.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "full").select("doc_id", "key", "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    later = by_name.mapInArrow(_across_chunks, "doc_id long, which long, a long, b long")
+    cuts = later.groupBy(*on).agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    marks = cuts.join(copies.withColumn("copy", F.lit(True)), on, "full").select(*on, "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
     none = texts.where("doc_id is null").select("doc_id", *own, F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
-    return moved.join(marks, ["doc_id", "key"], "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
+    return moved.join(marks, on, "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
 
 
 def _key(salt: int) -> F.Column:

@@ -120,7 +120,7 @@ def test_suffix_dedup_when_names_collide(spark, monkeypatch):
     texts = corpus(5, 20)
     plain = suffixes.rolling
     monkeypatch.setattr(suffixes, "rolling", lambda values, n: plain(values, n) & np.uint64(1))  # goes along with _later_strings; seeds are read by the module's own
-    b = pa.RecordBatch.from_pydict({"rank": [1, 1], "doc_id": [1, 2], "key": [1, 2], "at": [0, 0], "past": pa.array([None, None], pa.int64()), "around": [b"a" * 60, b"a" * 55 + b"b" * 5]})
+    b = pa.RecordBatch.from_pydict({"rank": [1, 1], "doc_id": [1, 2], "which": [0, 0], "at": [0, 0], "past": pa.array([None, None], pa.int64()), "around": [b"a" * 60, b"a" * 55 + b"b" * 5]})
     (out,) = suffixes._later_strings(50, 10)([b])
     assert [(r["doc_id"], r["a"], r["b"]) for r in out.to_pylist()] == [(2, 0, 55)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup_digest(docs(spark, texts)).collect()}
