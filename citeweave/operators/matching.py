@@ -117,7 +117,7 @@ def scored(citations: DataFrame, library: DataFrame, author: int, names: DataFra
     # What no second author could lift to the threshold goes before second authors are compared.
     both = (F.col("n") > 1) & (F.col("m") > 1)
     most = F.when(both, F.col("s1") * 0.7 + 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1")) * F.col("own")
-    pairs = pairs.where(most >= author / 100 - 1e-9).withColumn("s2", F.when(both, indel_ratio(F.col("a2"), F.col("b2")) / 100))
+    pairs = pairs.where(most >= author / 100 - 1e-9).withColumn("s2", indel_ratio(F.when(both, F.col("a2")), F.when(both, F.col("b2"))) / 100)
     score = F.when(both, F.col("s1") * 0.7 + F.col("s2") * 0.3).when(F.col("n") > 1, F.col("s1") * 0.85).otherwise(F.col("s1"))
     best = pairs.select("cit_id", "lib_ord", "item_key", (score * F.col("own")).alias("score")).groupBy("cit_id", "lib_ord", "item_key").agg(F.max("score").alias("score"))
     once = Window.partitionBy("cit_id", "item_key").orderBy("lib_ord")
@@ -163,9 +163,10 @@ def low_candidates(citations: DataFrame, library: DataFrame, t: Thresholds = Thr
     pairs = left.join(names, "a").join(right, ["pool", "b"]).where("not has_et_al or m >= 3")
     # What no second author could lift to the lower threshold goes before second authors are compared.
     most = F.when((F.col("n") > 1) & (F.col("m") > 1), F.col("s1") * F.col("own") * 0.7 + F.col("own") * 0.3).otherwise(F.col("s1") * F.col("own"))
-    pairs = pairs.where(most >= t.candidate / 100 - 1e-9).withColumn("s2", indel_ratio(F.col("a2"), F.col("b2")) / 100)
+    both = (F.col("n") > 1) & (F.col("m") > 1)
+    pairs = pairs.where(most >= t.candidate / 100 - 1e-9).withColumn("s2", indel_ratio(F.when(both, F.col("a2")), F.when(both, F.col("b2"))) / 100)
     s = F.col("s1") * F.col("own")
-    score = F.when((F.col("n") > 1) & (F.col("m") > 1), s * 0.7 + F.col("s2") * 0.3 * F.col("own")).otherwise(s)
+    score = F.when(both, s * 0.7 + F.col("s2") * 0.3 * F.col("own")).otherwise(s)
     best = pairs.groupBy("cit_id", "lib_ord", "item_key", "ord").agg(F.max(score).alias("score"))
     inside = best.where((F.col("score") >= t.candidate / 100) & (F.col("score") < t.author / 100))
     once = Window.partitionBy("cit_id", "item_key").orderBy("ord", "lib_ord")
