@@ -365,7 +365,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     which = (F.col("key") if mixed else F.lit(0).cast("long")).alias("which")
     on = ["doc_id", "which"] if mixed else ["doc_id"]
     copies = copies.select("doc_id", which).select(*on)
-    moved = known.select("*", _key(salt)).select("*", which).repartition(parts, *on)
+    # Keys are added behind the exchange, so that all uses of the texts read the same one.
+    moved = known.repartition(parts, "doc_id", *([_key(salt)] if mixed else []))
+    moved, plain = moved.select("*", _key(salt)).select("*", which), moved
     reps = least.where(F.col("size") >= length).select(F.col("rep").alias("doc_id"), which, F.col("key").alias("own")).select(*on, "own")
     seeds = map_batches(moved.join(reps, on), _seed_batches(n_buckets, length, seed), "bucket int, key long, ranks binary, owners binary", ("key", "own", "text"))
     by_key = seeds.repartition(parts, "bucket", F.when(F.col("bucket") < 0, F.pmod("key", F.lit(4096)))).sortWithinPartitions("bucket")
@@ -379,7 +381,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     cuts = later.groupBy(*on).agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     marks = cuts.join(copies.withColumn("copy", F.lit(True)), on, "full").select(*on, "cuts", F.coalesce("copy", F.lit(False)).alias("copy"))
     none = texts.where("doc_id is null").select("doc_id", *own, F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("cuts"), F.lit(False).alias("copy"))
-    return moved.join(marks, on, "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
+    return (moved if mixed else plain).join(marks, on, "left").select("doc_id", *own, "cuts", F.coalesce("copy", F.lit(False)).alias("copy")).unionByName(none)
 
 
 def _key(salt: int) -> F.Column:
