@@ -94,3 +94,37 @@ def test_cascade(spark, undated):
         outcome, key, s = expected(c, lib)
         r = by[c["cit_id"]]
         assert (r.outcome, r.item_key, round(r.confidence, 9)) == (outcome, key, round(s, 9)), (c, r)
+
+
+CITES = "cit_id long, doc_id long, authors array<string>, year string, has_et_al boolean"
+ITEMS = "lib_ord long, item_key string, authors array<string>, editors array<string>, title string, year string"
+
+
+def test_steps_between_profiles(spark, monkeypatch):
+    """300 citations that say the same, of 40 items that do: the steps store the 40 candidates, not 12,000."""
+    entries = []
+
+    def counted(df, name, stored=matching.stored):
+        out = stored(df, name)
+        entries.append(sum(len(r.candidates or []) if "candidates" in out.columns else 1 for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(matching, "stored", counted)
+    cites = spark.createDataFrame([(k, k % 3, ["Smith"], "2000", False) for k in range(300)], CITES)
+    lib = spark.createDataFrame([(k, f"K{k % 39}", ["Smith"], [], "t", "2000") for k in range(40)], ITEMS)
+    got = matching.cascade(cites, lib).collect()
+    assert max(entries) <= 40
+    assert [(r.outcome, r.item_key, len(r.candidates)) for r in got] == [("ambiguous", "K0", 39)] * 300  # K0 is there twice and counts once
+
+
+def test_titles_of_many_items(spark):
+    """Of the items of a title the first wins, but the first of the year asked for where its bonus counts."""
+    lib = spark.createDataFrame([(k, f"K{k}", ["A"], [], "birds of the north" if k % 2 else "fish", str(2000 + k % 5)) for k in range(200)], ITEMS)
+    texts = ["birds of the north", "birds of north", "fish", "quite another text"]
+    cites = spark.createDataFrame([(k, texts[k % 4], str(1999 + k % 7)) for k in range(28)], "cit_id long, raw_text string, year string")
+    items = [(k, "birds of the north" if k % 2 else "fish", str(2000 + k % 5)) for k in range(200)]
+    order = lambda t: " ".join(sorted(t.split()))
+    for r in matching.title_match(cites, lib).collect():
+        text, year = texts[r.cit_id % 4], str(1999 + r.cit_id % 7)
+        best, first = max(((min(1.0, s * 1.15) if y == year else s), -k) for k, t, y in items for s in [ratio(order(text), order(t))])
+        assert (round(r.score, 9), r.matched, r.lib_ord) == (round(best, 9), best >= 0.68, -first if best >= 0.68 else None)
