@@ -758,3 +758,20 @@ def test_pipeline(spark):
     assert {r.doc_id: r.text for r in four.collect()} == {r.doc_id: redact(r.text) for r in three.collect()}
     check_packed(stage["packing"](spark, four, SF).collect(), [(r.doc_id, r.text) for r in four.collect()])
     assert corpus_pipeline.run(spark, SF).count() == stage["packing"](spark, four, SF).count()
+
+
+def test_passages_salted_joins_stay_off_the_driver(spark, monkeypatch):
+    """The salted side is SALTS times what Spark's estimate says, so it may never be broadcast."""
+    from citeweave.llm import passages
+
+    plans = []
+
+    def kept(df, name, stored=passages.stored):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return stored(df, name)
+
+    monkeypatch.setattr(passages, "stored", kept)
+    text = " ".join(f"w{k}" for k in range(60))
+    passages.passages(spark.createDataFrame([(1, text), (2, text), (3, "a b c " + text)], "doc_id long, text string")).collect()
+    joins = [x for x in plans if "Join" in x and "_salt" in x]
+    assert len(joins) >= 2 and all("SortMergeJoin" in x for x in joins), joins
