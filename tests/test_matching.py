@@ -128,3 +128,34 @@ def test_titles_of_many_items(spark):
         text, year = texts[r.cit_id % 4], str(1999 + r.cit_id % 7)
         best, first = max(((min(1.0, s * 1.15) if y == year else s), -k) for k, t, y in items for s in [ratio(order(text), order(t))])
         assert (round(r.score, 9), r.matched, r.lib_ord) == (round(best, 9), best >= 0.68, -first if best >= 0.68 else None)
+
+
+def test_met_as_spark_joins(spark):
+    """Rows that cross packed, against Spark's own join: keys that repeat, are null or stand on one side only, nested columns, an empty side."""
+    from citeweave.operators.packed import met
+
+    left = spark.createDataFrame([(k % 70 if k % 9 else None, f"text {k % 3}", [f"a{k}", None], [("x", k / 2)]) for k in range(200)], "id long, t string, names array<string>, c array<struct<k: string, s: double>>").repartition(3)
+    right = spark.createDataFrame([(k if k % 7 else None, "yes" if k % 2 else None, k) for k in [*range(40, 90), 50, 50, 60]], "id long, action string, pick int").repartition(2)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for how in ("left", "inner"):
+        for other in (right, right.limit(0)):
+            got = met(left, other, "id", how).select("id", "t", "names", "c", "action", "pick")
+            assert rows(got) == rows(left.join(other, "id", how).select("id", "t", "names", "c", "action", "pick"))
+    texts = left.withColumn("id", left["id"].cast("string"))
+    assert rows(met(texts, right.withColumn("id", right["id"].cast("string")), "id")) == rows(texts.join(right.withColumn("id", right["id"].cast("string")), "id", "left"))
+
+
+def test_review_moves_texts_once(spark):
+    """Neither a join with the overrides nor the handing on to equal texts sends a row with its text for each citation."""
+    from citeweave.operators import review
+
+    results = spark.createDataFrame([(k, k % 3, f"(Name {k % 5}, 2000)", "matched") for k in range(60)], "cit_id long, doc_id long, display string, outcome string")
+    acts = spark.createDataFrame([(k, ("accept", "pick", "unmatch", "none")[k % 4], k % 3) for k in range(10, 60)], "cit_id long, action string, pick int")
+    for df in (review.propagated(acts, results), review.unmatched(results, acts), review.tabs(results, acts)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "cit_id = cit_id" not in plan.replace("#", " #") and "MapInArrow" in plan
+    first = {}
+    for k in range(10, 60):
+        first.setdefault((k % 3, k % 5), (("accept", "pick", "unmatch", "none")[k % 4], k % 3))
+    assert {(r.cit_id, r.action, r.pick) for r in review.propagated(acts, results).collect()} == {(k, *first[k % 3, k % 5]) for k in range(60)}
+    assert {r.cit_id for r in review.unmatched(results, acts).collect()} == {k for k in range(10, 60) if k % 4 == 2}
