@@ -159,3 +159,45 @@ def test_review_moves_texts_once(spark):
         first.setdefault((k % 3, k % 5), (("accept", "pick", "unmatch", "none")[k % 4], k % 3))
     assert {(r.cit_id, r.action, r.pick) for r in review.propagated(acts, results).collect()} == {(k, *first[k % 3, k % 5]) for k in range(60)}
     assert {r.cit_id for r in review.unmatched(results, acts).collect()} == {k for k in range(10, 60) if k % 4 == 2}
+
+
+def test_titles_in_blocks(spark, monkeypatch):
+    """Texts against titles of all lengths, in one block and in many, against every pair; titles are put in form once for each title, not for each item."""
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "été", "漢字", "a", "bb", "ccc" * 30]
+    some = lambda: " ".join(rng.choices(words, k=rng.randint(1, 9)))
+    titles = [some() for _ in range(60)]
+    items = [(k, titles[k % 60], ["", "2000", "2001", "2002"][rng.randint(0, 3)]) for k in range(150)]
+    asked = [(k, titles[k] + ", again" if k % 3 == 0 else "qqq" if k % 13 == 0 else some(), ["2000", "2001", None][k % 3]) for k in range(40)]
+    order = lambda t: " ".join(sorted(t.replace(",", " ").split()))
+    lib = spark.createDataFrame([(k, f"K{k}", ["A"], [], t, y) for k, t, y in items], ITEMS)
+    cites = spark.createDataFrame(asked, "cit_id long, raw_text string, year string")
+    for cells in (1_000_000, 2_000):
+        monkeypatch.setattr(matching, "CELLS", cells)
+        got = {r.cit_id: r for r in matching.title_match(cites, lib).collect()}
+        assert len(got) == len(asked)
+        for k, text, year in asked:
+            best, first = max(((min(1.0, s * 1.15) if year and y == year else s), -n) for n, t, y in items for s in [ratio(order(text), order(t))])
+            r = got[k]
+            assert (round(r.score, 9), r.matched, r.lib_ord) == (round(best, 9), best >= 0.68, -first if best >= 0.68 else None), (text, year)
+    texts = cites.selectExpr("raw_text AS a").distinct()
+    forms = lib.selectExpr("title AS b").distinct().selectExpr("b", "array() AS years").selectExpr("b", "cast(years AS array<string>) AS years")
+    assert matching.title_pairs(texts, forms).count() < texts.count() * 12  # not every pair
+    assert "regexp_replace" not in matching.title_match(cites, lib)._jdf.queryExecution().optimizedPlan().toString()  # nothing is put in form for each citation
+
+
+def test_block_ratios():
+    """Ratios of one text with many, and their bounds, against one pair at a time."""
+    import numpy as np
+
+    from citeweave.functions.similarity import Block
+
+    rng = random.Random(3)
+    for letters, n, m in (("ab", 70, 64), ("abcdeé漢😀 xyz", 150, 130), ("abc", 300, 20)):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, m))) for _ in range(80)]
+        block = Block(texts)
+        for a in ["".join(rng.choices(letters + "Q", k=rng.randint(0, n))) for _ in range(8)] + ["", texts[3]]:
+            got = block.ratios(a, np.arange(80))
+            assert got.tolist() == [ratio(a, b) for b in texts]
+            assert (block.bounds(a) >= got).all()
+            assert block.ratios(a, np.array([5, 2])).tolist() == got[[5, 2]].tolist()
