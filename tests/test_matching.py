@@ -174,6 +174,7 @@ def test_titles_in_blocks(spark, monkeypatch):
     cites = spark.createDataFrame(asked, "cit_id long, raw_text string, year string")
     for cells in (1_000_000, 2_000):
         monkeypatch.setattr(matching, "CELLS", cells)
+        monkeypatch.setattr(matching, "MANY", cells)
         got = {r.cit_id: r for r in matching.title_match(cites, lib).collect()}
         assert len(got) == len(asked)
         for k, text, year in asked:
@@ -201,3 +202,20 @@ def test_block_ratios():
             assert got.tolist() == [ratio(a, b) for b in texts]
             assert (block.bounds(a) >= got).all()
             assert block.ratios(a, np.array([5, 2])).tolist() == got[[5, 2]].tolist()
+
+
+def test_profiles_once(spark, monkeypatch):
+    """Names, years and scores of 300 numbered citations of one profile come from one stored row, not from the citations again."""
+    rows = {}
+
+    def counted(df, name, stored=matching.stored):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "stored", counted)
+    cites = spark.createDataFrame([(k, 0, ["Smith"], "2000", False, "a title") for k in range(300)], CITES + ", raw_text string")
+    lib = spark.createDataFrame([(k, f"K{k}", ["Smyth" if k else "Smith"], [], "a title", "2000") for k in range(3)], ITEMS)
+    got = matching.numbered(cites, lib).collect()
+    assert [(r.lib_ord, r.score) for r in got] == [(0, 1.0)] * 300
+    assert rows["profiles"] == 1 and rows["names"] == 1
