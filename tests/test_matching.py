@@ -219,3 +219,22 @@ def test_profiles_once(spark, monkeypatch):
     got = matching.numbered(cites, lib).collect()
     assert [(r.lib_ord, r.score) for r in got] == [(0, 1.0)] * 300
     assert rows["profiles"] == 1 and rows["names"] == 1
+
+
+def test_reranked_between_profiles(spark, monkeypatch):
+    """Every match of every citation as rerank of matches has them, without a row for each of them in an exchange."""
+    rng = random.Random(8)
+    words = ["ice", "sea", "birds", "of", "the", "north", "été", "rivers", "old", "maps"]
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 6)))
+    lib = [(k, f"K{k % 55}", [rng.choice(["Smith", "Smyth", "Berg"])], [], "" if k % 9 == 0 else title(), rng.choice(["2000", "2001"])) for k in range(60)]
+    refs = [(k, lib[k][4] + ", again" if k < 30 else "" if k == 31 else None if k == 32 else title()) for k in range(45)]
+    cites = [(k, 0, [rng.choice(["Smith", "Berg", "Zed"])], rng.choice(["2000", "2001"]), False, rng.randint(0, 50)) for k in range(400)]
+    lib, refs, cites = spark.createDataFrame(lib, ITEMS), spark.createDataFrame(refs, "ref long, ref_text string"), spark.createDataFrame(cites, CITES + ", ref long")
+    monkeypatch.setattr(matching, "AT_ONCE", 7)
+    rows = lambda df: sorted(map(str, df.selectExpr("cit_id", "lib_ord", "item_key", "round(score, 9) AS score", "cast(rank AS int) AS rank").collect()))
+    got = matching.reranked(cites, refs, lib, 82)
+    plain = matching.matches(cites, lib, 82)
+    want = matching.rerank(plain, cites.join(refs, "ref", "left"), lib)
+    assert rows(got) == rows(want) != rows(plain) and len(rows(got)) > 2000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(cit_ids") < plan.index("RepartitionByExpression") and "Join" not in plan[: plan.index("RepartitionByExpression")]  # written out last
