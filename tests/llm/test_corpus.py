@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from citeweave.llm import components, html, neighbours, packing, passages, simhash, suffixes, toxicity
+from citeweave.llm import components, html, neighbours, packing, passage_links, passages, simhash, suffixes, toxicity
 from citeweave.llm.bpe import vocabulary
 from tests.llm.common import clashing, docs, rows, same_with_more_columns
 
@@ -324,6 +325,64 @@ def test_passages_past_pieces_in_smaller_documents(spark):
         assert [(r.start_word, r.end_word, r.other_start, r.other_end) for r in got if (r.doc_id, r.other_id) == (101, 100)] == [(0, 200, 0, 200)]
 
 
+def test_passages_fuzzy_between_texts_that_are_not_the_first(spark, monkeypatch):
+    """All seeds of a fuzzy passage stand in smaller documents, each in another one; and between near copies, of which few are near to the first."""
+    rng = random.Random(15)
+    text = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    line, texts, want = text(19), {}, set()
+    for n in range(12):
+        base = 1000 * n
+        shared = text(80)
+        for j in range(9):
+            texts[base + j] = text(10) + shared[8 * j : 8 * j + 16] + text(10) + line
+        for j in range(3):
+            texts[base + 100 + j] = text(15) + [w if (i + 7 * j) % 20 else "other" + str(j) for i, w in enumerate(shared)] + text(20) + line
+        want |= {(base + 101, base + 100), (base + 102, base + 100), (base + 102, base + 101)}
+    near = text(150)
+    for j in range(40):  # two of them differ in 24 words at most, the similarity may be under 0.9
+        texts[20_000 + j] = [w if rng.random() > 0.07 else "x" + str(rng.random()) for w in near]
+    monkeypatch.setattr(passages, "open_pairs", lambda *a: passage_links.open_pairs(*a, block=25))
+    got = passages.passages(docs(spark, [(i, " ".join(w)) for i, w in texts.items()]).repartition(5)).collect()
+    assert want <= {(r.doc_id, r.other_id) for r in got}
+    for r in got:  # none that isn't there
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.other_id][r.other_start : r.other_end]
+        assert min(len(a), len(b)) >= 40 and 1 - passages.edit_distance(list(map(hash, a)), list(map(hash, b))) / max(len(a), len(b)) == pytest.approx(r.similarity) and r.similarity >= 0.8
+    assert {r.doc_id // 1000 for r in got if r.doc_id // 1000 != r.other_id // 1000} == set()
+    # Near copies: listed, or by the passages of both with a third.
+    rows = {(r.doc_id, r.other_id): r for r in got if r.doc_id >= 20_000}
+    for i in range(20_001, 20_040):
+        for j in range(20_000, i):
+            if (i, j) not in rows:
+                both = [(rows.get((i, z)), rows.get((j, z))) for z in range(20_000, 20_040)] + [(rows.get((i, z)), rows.get((z, j))) for z in range(j, i)]
+                assert any(a and b and 2 - a.similarity - b.similarity <= 0.21 for a, b in both), (i, j)
+
+
+def test_common_pairs_and_settled():
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 12, rng.integers(0, 60)).astype(np.uint8) for _ in range(130)]
+    group = np.sort(rng.choice([0, 1, 2, 2, 2, 2, 2, 3], 130))
+    group = np.unique(group, return_inverse=True)[1]
+    pairs = [Counter(zip(w[:-1].tolist(), w[1:].tolist(), strict=True)) for w in words]
+    for want in (8, 23):
+        a, b = passage_links.common_pairs([w.tobytes() for w in words], group, want, np.arange(130), lambda a, b: (a + b) % 7 == 0, lambda a, b: np.zeros(len(a), bool))
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert got == {(i, j) for i in range(130) for j in range(i + 1, 130) if (i + j) % 7 and group[i] == group[j] and sum((pairs[i] & pairs[j]).values()) >= want}
+    # Two places in a document: one pair of places where that is sure, else all.
+    same, unlike = bytes(range(60)), bytes(range(100, 160))
+    many = [same] * 40 + [unlike]
+    for certain, n in ((True, 190), (False, 760)):
+        a, b = passage_links.common_pairs(many, np.zeros(41, np.int64), 23, np.arange(41) // 2, lambda a, b: a // 2 == b // 2, lambda a, b, certain=certain: np.full(len(a), certain))
+        assert len(a) == n and len(set(zip((a // 2).tolist(), (b // 2).tolist(), strict=True))) == 190
+    x, y, z = passage_links.around([same, unlike, same], np.array([40, 40, 39]), 40, 80)[:, None, :]
+    assert passage_links.sure(x, x, 40, 6) and not passage_links.sure(x, y, 40, 6) and not passage_links.sure(x, z, 40, 6)
+    asked = [{"hash": 1, "at": p} for p in (3, 4, 5, 6, 20, 30)] + [{"hash": 2, "at": -1 - p} for p in (8, 10, 12)]
+    assert [(r["hash"], r["at"]) for r in passage_links.ends_of_repeats(asked, np.array([0, 1, 2] + [7] * 10 + list(range(30, 70))))] == [(1, 3), (1, 6), (1, 20), (1, 30), (2, -9), (2, -13)]
+    # Documents 7 and 8 have 60 words of 1 with few changes, 9 only 20 of these, 10 with too many changes; 1 itself has all.
+    doc = np.array([7, 8, 9, 10, 1])
+    bits = passage_links.settled(doc, np.arange(4), np.full(4, 1), np.array([0, 5, 45, 0]), np.array([65, 70, 90, 65]), np.array([1, 5, 0, 12]), 40, 0.8)
+    assert bits[0] & bits[1] & bits[4] and not bits[0] & bits[2] and not bits[0] & bits[3]
+
+
 def test_passages_recall(spark):
     """Planted fuzzy passages against an alignment of each planted pair in full: 0.9 or more of them, none that isn't there."""
     rng = random.Random(14)
